@@ -119,6 +119,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def times(x: np.uint64, n: int) -> np.uint64:
+    """x n modulo 2^64, without numpy's warning for scalars."""
+    return np.uint64(int(x) * n & 0xFFFFFFFFFFFFFFFF)
+
+
 def doubled(h: np.ndarray, widths: Iterable[int]) -> dict[int, np.ndarray]:
     """Hashes of all runs of 2^k symbols, for the powers of two in ``widths``."""
     out, width, level, top = {}, 1, 0, max(widths)

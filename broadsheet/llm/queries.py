@@ -35,6 +35,12 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_mixture": op2_language_mixture,
     "op3_warc_index": op3_warc_index,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_bag_minhash": op6_bag_minhash,
     "op7_decontaminate": op7_decontaminate,
     "op10_top_k": op10_top_k,
 }
