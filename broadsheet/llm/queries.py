@@ -17,6 +17,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_mixture": op2_language_mixture,
     "op3_warc_index": op3_warc_index,
+    "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bag_minhash": op6_bag_minhash,
     "op7_decontaminate": op7_decontaminate,
