@@ -53,6 +53,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece import encode
+
+    return encode(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_bag_minhash": op6_bag_minhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_top_k": op10_top_k,
 }
 
