@@ -31,6 +31,14 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Arrow batches to Python workers end at ``size`` bytes, however long the texts in them are (Spark: 64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).strip().lower().removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(key, str(size))
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

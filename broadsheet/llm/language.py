@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, mix64, word_bounds
+from .common import binary_rows, bounded_batches, mix64, word_bounds
 from .segments import doc_groups
 
 PER_LANGUAGE = 1000
@@ -176,6 +176,7 @@ def identify(docs: DataFrame, is_labelled: Column | None = None, keep: list[str]
 
     ``is_labelled`` selects the rows to learn from (default: those that aren't held out); ``keep``: columns to carry.
     """
+    bounded_batches(docs.sparkSession)
     labels, table = learn(docs, ~held_out() if is_labelled is None else is_labelled)
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

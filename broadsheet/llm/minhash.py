@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEVEL_ODD, binary_rows, mix64, stored, times, word_bounds, word_hashes
+from .common import LEVEL_ODD, binary_rows, bounded_batches, mix64, stored, times, word_bounds, word_hashes
 from .components import components
 from .segments import doc_groups
 
@@ -198,6 +198,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, class_id (least id of its class), node (least id with an equal bag, null without words)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"))
     some = rows.where(F.col("doc_id").isNotNull())
     sign = stored(some.mapInArrow(signed, SIGNED), "signatures")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEVEL_ODD, batches_of, binary_rows, doubled, mix64, stored, whole_keys
+from .common import LEVEL_ODD, batches_of, binary_rows, bounded_batches, doubled, mix64, stored, whole_keys
 
 CHUNK = 1 << 19  # symbols or bytes handled at once
 INDEX_BITS = 22
@@ -290,6 +290,7 @@ def judge(spec: Spec) -> Callable:
 
 def removed_runs(texts: DataFrame, spec: Spec) -> DataFrame:
     """(doc_id, part, start, stop): symbols covered by windows that occur earlier; ``texts`` as of ``with_parts``."""
+    bounded_batches(texts.sparkSession)
     announced = texts.mapInArrow(announce(spec), ANNOUNCED)
     known = stored(announced.repartition("k").sortWithinPartitions("k").mapInArrow(settle(spec), SETTLED), "segments")
     kind = F.shiftright("packed", 61)

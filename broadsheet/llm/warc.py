@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import bounded_batches, scratch_path, stored
 
 MIN_BYTES = 0
 GAP = 64 << 10  # ranges closer than this are read together
-READ = 8 << 20  # bytes of one read, if a record isn't longer
+READ = 2 << 20  # bytes of one read, if a record isn't longer
 ROLL = 256 << 20  # bytes after which a task begins another file
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "file string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -106,7 +106,7 @@ def writer(folder: str) -> Callable:
         store, path = filesystem(folder)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
                 rows = []
                 for page_id, url, payload, first in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "first_id")), strict=True):
                     if out is None or at >= ROLL:
@@ -132,6 +132,7 @@ def writer(folder: str) -> Callable:
 
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Archives ``pages`` (page_id, url, html) under ``folder``; returns the stored index, a row per record."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     same = rows.where((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy(F.sha1("payload").alias("_d"), F.length("payload").alias("_n")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_c"))
     same = same.where("_c > 1").drop("_c")
@@ -167,7 +168,9 @@ def reader(with_payload: bool) -> Callable:
                 for r in records:
                     member = data[r["offset"] - begin : r["offset"] - begin + r["length"]]
                     row = {"file": file, "offset": r["offset"]} | parse(zlib.decompress(member, 31))
-                    rows.append(row if with_payload else row | {"payload": None})
+                    if not with_payload:
+                        row["payload"] = None
+                    rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
     return run
