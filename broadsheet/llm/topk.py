@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 SAMPLE = 2048
-BATCH = 1024
+BATCH = 2048
+FEW = 0.02  # share of pairs below which survivors are listed
+USEFUL = 0.8  # share of pairs that a level may leave to be worth its cost
 LEVELS = (2, 8, 16)
 FOUND = "query_id long, vec_id long, score long"
 
@@ -53,11 +55,18 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row-wise inner products; floats hold them exactly up to 2^53, beyond that Python's integers do."""
-    if not q.size or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53:
-        return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    long = [sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for u, v in zip(q, x, strict=True)]
-    return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in long], np.int64)
+    """Inner products of all rows of ``q`` and ``x``, in the narrowest floats that hold them exactly, else in Python's integers."""
+    size = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if size < 2**53:
+        kind = np.float32 if size < 2**24 else np.float64
+        return q.astype(kind) @ x.astype(kind).T
+    rows = [[int(v) for v in r] for r in x]
+    return np.array([[sum(a * b for a, b in zip(u, v, strict=True)) for v in rows] for u in ([int(v) for v in r] for r in q)], object)
+
+
+def paired(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of ``q`` and j of ``x``."""
+    return np.concatenate([np.einsum("ij,ij->i", q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -73,32 +82,56 @@ def search(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Callabl
     """For mapInArrow over (vec_id, embedding): the task's k best of each query, as far as they reach its ``floor``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = q.shape[1]
-        known, levels = floor.astype(np.float64).copy(), None
+        known = floor.astype(np.float64).copy()
+        useful = dict.fromkeys(LEVELS, True)
+        of_q: dict = {}
         held = [np.zeros(0, np.int64)] * 3
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(a, BATCH)
-                own = batch["vec_id"].to_numpy()
-                x = matrix(batch["embedding"], width)
-                queries = np.pad(q, ((0, 0), (0, x.shape[1] - width))) if x.shape[1] > width else q
-                if levels is None or levels[0] != x.shape[1]:
-                    levels = x.shape[1], [statistics(queries, s) for s in LEVELS]
-                slack = 1e-6 * (1 + np.abs(known))
-                bound = levels[1][0] @ statistics(x, LEVELS[0]).T
-                i, j = np.nonzero(bound >= (known - slack)[:, None])
-                for s, of_q in zip(LEVELS[1:], levels[1][1:], strict=True):
-                    of_x = statistics(x, s)
-                    keep = np.concatenate([np.einsum("ij,ij->i", of_q[i[b : b + 262144]], of_x[j[b : b + 262144]]) for b in range(0, len(i), 262144)] or [np.zeros(0)]) >= (known - slack)[i]
-                    i, j = i[keep], j[keep]
-                other = ids[i] != own[j]
-                i, j = i[other], j[other]
-                score = np.concatenate([exact(queries[i[b : b + 262144]], x[j[b : b + 262144]]) for b in range(0, len(i), 262144)] or [np.zeros(0, np.int64)])
-                keep = score >= known[i]
-                i, c, score, rank = best(*(np.concatenate(p) for p in zip(held, (i[keep], own[j][keep], score[keep]), strict=True)), k)
-                held = [i, c, score]
-                last = rank == k - 1
-                known[i[last]] = np.maximum(known[i[last]], score[last])
+        for batch in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
+            own = batch["vec_id"].to_numpy()
+            x = matrix(batch["embedding"], q.shape[1])
+            if x.shape[1] not in of_q:
+                queries = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
+                of_q = {x.shape[1]: (queries, {s: statistics(queries, s).astype(np.float32) for s in LEVELS})}
+            queries, stats = of_q[x.shape[1]]
+            # float32 rounds a sum of 2 s products by less than this share of |q| |x|
+            slack = 1e-5 * (1 + np.sqrt((queries**2).sum(1)) * np.sqrt((x**2).sum(1).max(initial=0)))
+            least = (known - slack).astype(np.float32)
+            pairs, among = None, len(ids) * len(own)
+            for s in LEVELS:
+                if not useful[s]:
+                    continue
+                of_x = statistics(x, s).astype(np.float32)
+                if pairs is None:
+                    possible = stats[s] @ of_x.T >= least[:, None]
+                    left = int(np.count_nonzero(possible))
+                    if left < FEW * possible.size:
+                        pairs = np.nonzero(possible)
+                else:
+                    i, j = pairs
+                    keep = paired(stats[s], of_x, i, j) >= least[i]
+                    pairs, left = (i[keep], j[keep]), int(keep.sum())
+                useful[s] = left < USEFUL * among  # a level that drops little here is left out in what follows
+                among = max(1, left)
+            if pairs is None:
+                score = exact(queries, x)
+                i, j = np.nonzero(score >= known[:, None])
+                score = score[i, j]
+            else:
+                i, j = pairs
+                whole = np.unique(i)  # exact() of the queries that have survivors, then of these pairs
+                if float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53:
+                    score = paired(queries, x, i, j)
+                else:
+                    score = exact(queries[whole], x)[np.searchsorted(whole, i), j]
+                fine = score >= known[i]
+                i, j, score = i[fine], j[fine], score[fine]
+            other = ids[i] != own[j]
+            i, j = i[other], j[other]
+            score = np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in score[other]], np.int64) if score.dtype == object else score[other].astype(np.int64)
+            i, c, score, rank = best(*(np.concatenate(p) for p in zip(held, (i, own[j], score), strict=True)), k)
+            held = [i, c, score]
+            last = rank == k - 1
+            known[i[last]] = np.maximum(known[i[last]], score[last])
         yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
 
     return run
