@@ -59,6 +59,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan_licenses
+
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_blocks", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.round("gain", 6).alias("gain"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bag_minhash": op6_bag_minhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_license_scan": op9_license_scan,
     "op10_top_k": op10_top_k,
 }
 
