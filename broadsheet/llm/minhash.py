@@ -11,7 +11,8 @@ Bags that are equal become one node.  Nodes that share a band are candidates:
 
 1. each node of a bucket against the bucket's least node, so that a group costs as many comparisons as it has nodes;
 2. after connected components, the nodes of a bucket that are in different components, so that no link that bands find
-   between different components is lost; links within a component change nothing.
+   between different components is lost; links within a component change nothing.  Large buckets are compared block by
+   block without listing pairs.
 
 Candidates are verified by the exact weighted Jaccard similarity of their bags.  Classes are the connected components.
 
@@ -36,6 +37,8 @@ from .segments import doc_groups
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6
+SMALL = 16  # nodes of a bucket up to which pairs are listed one by one
+BLOCK = 256  # nodes of larger buckets that are compared with as many others at once
 GROUP = 512  # comparisons with one node that a task makes in a row
 CHUNK = 1 << 20
 
@@ -196,6 +199,71 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return full.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(verified(similarity), VERIFY)
 
 
+def overlaps(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[documents, documents]: sizes of the multiset intersections of the bags, as products of 0/1 matrices."""
+    n = len(sizes)
+    doc = np.repeat(np.repeat(np.arange(n), sizes), weights)
+    copy = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)  # the k-th of a shingle is an element of its own
+    _, column, often = np.unique(np.repeat(elements, weights) + copy.astype(np.uint64) * LEVEL_ODD[32], return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    doc, column = doc[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    width = max(1, (1 << 22) // max(1, n))
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        part = np.zeros((n, width), np.float32)
+        part[doc[a:b], column[a:b] - start] = 1
+        out += part @ part.T
+    return out
+
+
+def linked_blocks(similarity: float) -> Callable:
+    """Over (key, i, j, node, root, bin) sorted by key, i, j: a similar pair of each two components in a pair of blocks."""
+
+    def links(nodes: list, roots: list, texts: list) -> list[tuple[int, int]]:
+        data, offsets = binary_rows(pa.array(texts, pa.binary()))
+        e, w, sizes = bags(*shingles(data, offsets))
+        both = overlaps(e, w, sizes)
+        total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=w, minlength=len(sizes))
+        root = np.array(roots)
+        x, y = np.nonzero((both >= similarity * (total[:, None] + total[None, :] - both) - 1e-6) & (root[:, None] < root[None, :]))
+        found = {(roots[p], roots[q]): (nodes[p], nodes[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
+        return [(min(p), max(p)) for p in found.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [], [])
+
+        def out(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "node", "root", "bin")), strict=True):
+                if (key, i, j) != now:
+                    if held[0]:
+                        yield out(links(*held))
+                    now, held = (key, i, j), ([], [], [])
+                for h, x in zip(held, row, strict=True):
+                    h.append(x)
+        if held[0]:
+            yield out(links(*held))
+
+    return run
+
+
+def blockwise(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between components within large buckets; members: (key, node, root, n).
+
+    A bucket is dealt to blocks of about ``BLOCK`` nodes, and each pair of blocks is compared as a whole by matrix
+    products in one task, which returns a link for two components at most; so there is no row per pair of nodes.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "bin")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(linked_blocks(similarity), VERIFY)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row: doc_id, class_id (least id of its class), node (least id with an equal bag, null without words)."""
     bounded_batches(docs.sparkSession)
@@ -213,11 +281,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rooted = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_1"), F.max("root").alias("_2")).where("_1 < _2").select("key")
     rooted = stored(rooted.join(mixed, "key", "left_semi"), "mixed")
-    roots = rooted.select("key", "root").distinct()
-    sides = roots.select("key", F.col("root").alias("r1")).join(roots.select("key", F.col("root").alias("r2")), "key").where("r1 < r2").select("key", "r1", "r2")
-    second = sides.join(rooted.select("key", F.col("root").alias("r1"), F.col("node").alias("x")), ["key", "r1"]).join(rooted.select("key", F.col("root").alias("r2"), F.col("node").alias("y")), ["key", "r2"])
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(verify(stored(second, "pairs"), texts, similarity), "links")
+    sized = rooted.join(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    small = sized.where(F.col("n") <= SMALL)
+    second = small.select("key", F.col("node").alias("a"), F.col("root").alias("r1")).join(small.select("key", F.col("node").alias("b"), F.col("root").alias("r2")), "key").where("a < b and r1 <> r2")
+    second = second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    between = verify(stored(second, "pairs"), texts, similarity).unionByName(blockwise(sized.where(F.col("n") > SMALL), texts, similarity))
+    more = stored(between, "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     member = sign.where(F.size("keys") > 0).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("node").alias("node"))
