@@ -31,7 +31,7 @@ from .common import LEVEL_ODD, bounded_batches, mix64, times
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MATRIX = 48  # characters of a word up to which words are folded together
-CACHE = 200_000  # words whose pieces a task remembers
+CACHE = 400_000  # words whose pieces a task remembers
 NONE = np.int32(2**31 - 1)
 
 
@@ -67,7 +67,10 @@ class PieceTable:
         self.keys, self.key_rank, self.chars, self.order = hashes[by], by.astype(np.int32), chars, np.array(order, np.int32)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.surface = [self._surface(i) for i in range(len(pieces))]
+        surface = [self._surface(i) for i in range(len(pieces))]
+        self.surface_size = np.array([len(x) for x in surface])
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_data = np.frombuffer(b"".join(surface), np.uint8)
 
     def _surface(self, i: int) -> bytes:
         if self.kinds[i] == "byte":
@@ -236,10 +239,20 @@ class PieceTable:
             s += size[s]
         return tuple(out)
 
+    def surfaces(self, ids: np.ndarray) -> tuple[bytes, list[int]]:
+        """The pieces' bytes one after the other, and where each ends (from 0)."""
+        lengths = self.surface_size[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        inside = np.repeat(self.surface_start[ids] - ends[:-1], lengths) + np.arange(ends[-1])
+        return self.surface_data[inside].tobytes(), ends
+
+    def text_of(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
     def decode(self, ids) -> str:
         """The text of pieces: bytes joined, U+2581 as space, without the dummy prefix."""
-        raw = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if self.dummy_prefix and raw.startswith(" ") else raw
+        return self.text_of(self.surfaces(np.asarray(ids, np.int64))[0])
 
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -258,14 +271,19 @@ def encoder(table: PieceTable, with_ids: bool) -> Callable:
                 known = {}
                 fresh = set(chain.from_iterable(words))
             known |= table.encode_words(list(fresh))
+            own = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
+            counts = np.array([len(x) for x in own])
+            flat = np.fromiter(chain.from_iterable(own), np.int32, int(counts.sum()))
+            stop = np.cumsum(counts)
+            spelled = np.concatenate([[0], np.cumsum((flat >= first_byte) & (flat <= last_byte))])
+            raw, ends = table.surfaces(flat)
             cells: list[list] = [[] for _ in range(8)]
-            for text, own in zip(texts, words, strict=True):
-                ids = list(chain.from_iterable(map(known.__getitem__, own)))
-                array = np.array(ids, np.int32)
-                back = table.decode(ids)
+            for i, text in enumerate(texts):
+                a, b = int(stop[i] - counts[i]), int(stop[i])
+                back = table.text_of(raw[ends[a] : ends[b]])
                 row = (
-                    len(text), len(own), len(ids), int(((array >= first_byte) & (array <= last_byte)).sum()) if table.has_bytes else 0, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                    hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(SPACE, " "), array if with_ids else None,
+                    len(text), len(words[i]), b - a, int(spelled[b] - spelled[a]) if table.has_bytes else 0, hashlib.sha256(flat[a:b].astype("<i4").tobytes()).hexdigest(),
+                    hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text.replace(SPACE, " "), flat[a:b] if with_ids else None,
                 )
                 for c, x in zip(cells, row, strict=True):
                     c.append(x)
@@ -288,7 +306,7 @@ def encode(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataFr
 def decoder(table: PieceTable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([table.decode(x or ()) for x in batch["ids"].to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([table.decode(x or []) for x in batch["ids"].to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return run
 
