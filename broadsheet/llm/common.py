@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Let Arrow batches to Python workers end at ``size`` bytes, however long the texts in them are (Spark: 64 MB)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).strip().lower().removesuffix("b")
@@ -39,6 +41,26 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for mapInArrow; at the end of a task, what its worker holds free goes back to the system.
+
+    Spark keeps workers for later tasks, and their allocators keep freed memory, so that each kind of task would add its
+    own peak to that of the others.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

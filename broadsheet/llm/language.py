@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, bounded_batches, mix64, word_bounds
+from .common import binary_rows, bounded_batches, mix64, tidy, word_bounds
 from .segments import doc_groups
 
 PER_LANGUAGE = 1000
@@ -69,7 +69,7 @@ def counted(labels: list[str]) -> Callable:
         where = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where[0].astype(np.int32)), pa.array(where[1].astype(np.int32)), pa.array(total[where])], names=["label", "gram", "n"])
 
-    return run
+    return tidy(run)
 
 
 def learn(docs: DataFrame, is_labelled: Column, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
@@ -164,7 +164,7 @@ def predicted(labels: list[str], table: np.ndarray, keep: list[str]) -> Callable
             ]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *out], names=[*keep, "lang_pred", "score", "languages", "shares"])
 
-    return run
+    return tidy(run)
 
 
 def held_out() -> Column:

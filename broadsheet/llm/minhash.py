@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEVEL_ODD, binary_rows, bounded_batches, mix64, stored, times, word_bounds, word_hashes
+from .common import LEVEL_ODD, binary_rows, bounded_batches, mix64, stored, tidy, times, word_bounds, word_hashes
 from .components import components
 from .segments import doc_groups
 
@@ -40,7 +40,7 @@ BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability
 SMALL = 16  # nodes of a bucket up to which pairs are listed one by one
 BLOCK = 256  # nodes of larger buckets that are compared with as many others at once
 GROUP = 512  # comparisons with one node that a task makes in a row
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -183,7 +183,7 @@ def verified(similarity: float) -> Callable:
                         pairs.append((a[x], b[x]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -249,7 +249,7 @@ def linked_blocks(similarity: float) -> Callable:
         if held[0]:
             yield out(links(*held))
 
-    return run
+    return tidy(run)
 
 
 def blockwise(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"))
     some = rows.where(F.col("doc_id").isNotNull())
-    sign = stored(some.mapInArrow(signed, SIGNED), "signatures")
+    sign = stored(some.mapInArrow(tidy(signed), SIGNED), "signatures")
     nodes = sign.where(F.size("keys") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")

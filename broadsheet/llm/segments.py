@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEVEL_ODD, batches_of, binary_rows, bounded_batches, doubled, mix64, stored, whole_keys
+from .common import LEVEL_ODD, batches_of, binary_rows, bounded_batches, doubled, mix64, stored, tidy, whole_keys
 
 CHUNK = 1 << 19  # symbols or bytes handled at once
 INDEX_BITS = 22
@@ -176,7 +176,7 @@ def announce(spec: Spec) -> Callable:
         if n:
             yield from flush()
 
-    return run
+    return tidy(run)
 
 
 def pieces(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -212,7 +212,7 @@ def settle(spec: Spec) -> Callable:
             columns = ((np.zeros(len(d0) + len(d), np.int64), k), (d0, d, doc), (p0, pack_run(part, stop), packed), (s0, start, np.zeros(len(k), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["k", "doc_id", "packed", "aux"])
 
-    return run
+    return tidy(run)
 
 
 def cut_out(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -271,7 +271,7 @@ def fetch(spec: Spec) -> Callable:
                 empty = np.zeros(len(d), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(mix64(d.astype(np.uint64)).view(np.int64)), pa.array(d), pa.array(pack_run(p, e)), pa.array(s), cut_out(sub, empty, empty)], names=["k", "doc_id", "packed", "aux", "seg"])
 
-    return run
+    return tidy(run)
 
 
 def judge(spec: Spec) -> Callable:
@@ -285,7 +285,7 @@ def judge(spec: Spec) -> Callable:
             out = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "part", "start", "stop"])
 
-    return run
+    return tidy(run)
 
 
 def removed_runs(texts: DataFrame, spec: Spec) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LEVEL_ODD, bounded_batches, mix64, times
+from .common import LEVEL_ODD, bounded_batches, mix64, tidy, times
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -290,7 +290,7 @@ def encoder(table: PieceTable, with_ids: bool) -> Callable:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(cells, kinds, strict=True))], names=["doc_id", "n_chars", "n_words", "n_pieces", "n_bytes_pieces", "ids_sha256", "decoded_sha256", "lossless", "ids"])
 
-    return run
+    return tidy(run)
 
 
 def encode(docs: DataFrame, model: str = MODEL, with_ids: bool = True) -> DataFrame:
@@ -308,7 +308,7 @@ def decoder(table: PieceTable) -> Callable:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([table.decode(x or []) for x in batch["ids"].to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return run
+    return tidy(run)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_rows, with_parts, word_bounds, word_hashes
+from .common import binary_rows, tidy, with_parts, word_bounds, word_hashes
 from .segments import Spec, removed_runs, runs_of, unpack, with_runs
 
 LENGTH = 13
@@ -150,7 +150,7 @@ def _kept(with_text: bool):
                 kept.append(text.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:

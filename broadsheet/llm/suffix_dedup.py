@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_HASH, binary_rows, with_parts
+from .common import BYTE_HASH, binary_rows, tidy, with_parts
 from .segments import Spec, removed_runs, runs_of, unpack, with_runs
 
 LENGTH = 100
@@ -123,7 +123,7 @@ def _kept(with_bytes: bool):
                 kept.append(text if with_bytes else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def suffix_dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:

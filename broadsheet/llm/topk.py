@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BLOCK = 4096
 SAMPLE = 2048
 BATCH = 2048
@@ -134,7 +136,7 @@ def search(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Callabl
             known[i[last]] = np.maximum(known[i[last]], score[last])
         yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
 
-    return run
+    return tidy(run)
 
 
 def usable(df: DataFrame) -> DataFrame:

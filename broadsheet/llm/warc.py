@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, scratch_path, stored
+from .common import bounded_batches, scratch_path, stored, tidy
 
 MIN_BYTES = 0
 GAP = 64 << 10  # ranges closer than this are read together
@@ -127,7 +127,7 @@ def writer(folder: str) -> Callable:
             if out is not None:
                 out.close()
 
-    return run
+    return tidy(run)
 
 
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -173,7 +173,7 @@ def reader(with_payload: bool) -> Callable:
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]))
 
-    return run
+    return tidy(run)
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
