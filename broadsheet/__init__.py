@@ -1,0 +1 @@
+"""A Spark-native engine for text archives: ingest, clean, annotate, query, analyse."""
