@@ -625,7 +625,7 @@ def r3(spark, sf_dir):
     return A(spark, sf_dir).groupBy(F.col("entity_type").alias("label"), entities.entity_type(F.col("entity_type")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@entry("a20_detection_stats", "SELECT doc_id AS image_file, 3 AS total, true AS has_pictures, 1 AS text_regions, 0.5 AS avg_confidence FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, false, 1, 0.25 FROM documents WHERE doc_id % 2 = 1")
+@entry("a20_detection_stats", "SELECT doc_id AS image_file, 3 AS total, true AS has_pictures, 1 AS text_regions, CAST(0.5 AS DOUBLE) AS avg_confidence FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, false, 1, CAST(0.25 AS DOUBLE) FROM documents WHERE doc_id % 2 = 1")
 def a20(spark, sf_dir):
     kind = "array<struct<class:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text_content:string>>"
     one = lambda c, p: f"named_struct('class', '{c}', 'confidence', {p}D, 'bbox', named_struct('x1', 0D, 'y1', 0D, 'x2', 1D, 'y2', 1D), 'text_content', 't')"

@@ -67,7 +67,22 @@ def validate(spark: SparkSession, path, least: int = LEAST) -> DataFrame:
             cells = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([cells[0], cells[1], batch["length"], *cells[2:]], names=["file_path", "is_valid", "file_size", "width", "height", "format", "error"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content").mapInArrow(run, CHECKED)
+    checked = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content").mapInArrow(run, CHECKED)
+    none = [(p, False, 0, None, None, None, "too small: 0 bytes") for p in empty_files(spark, path)]
+    return checked.unionByName(spark.createDataFrame(none, CHECKED)) if none else checked
+
+
+def empty_files(spark: SparkSession, path) -> list[str]:
+    """Files of no bytes below a path, which Spark's readers leave out."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for root in [path] if isinstance(path, str) else path:
+        place = jvm.org.apache.hadoop.fs.Path(root)
+        found = place.getFileSystem(conf).listFiles(place, True)
+        while found.hasNext():
+            status = found.next()
+            if status.getLen() == 0:
+                out.append(status.getPath().toString())
+    return out
 
 
 def large_enough(listing: DataFrame, least: int = LEAST) -> DataFrame:
