@@ -1,3 +1,4 @@
+import hashlib
 import json
 import struct
 
@@ -104,8 +105,8 @@ def test_images(spark, tmp_path):
     assert tuple(images.validation_summary(checked).first()) == (6, 2, 4)
     assert images.dimensions(b"GIF89a" + struct.pack("<HH", 7, 8))[1:] == (7, 8)
     assert images.dimensions(b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 256, 4, 1, 9) + struct.pack("<HHIHH", 257, 3, 1, 6, 0))[1:] == (9, 6)
-    sums = spark.createDataFrame([("empty.png", "d41d8cd98f00b204e9800998ecf8427e"), ("gone.png", "x")], "filename string, md5 string")
-    assert {r.filename: r.ok for r in tables.verify_checksums(spark, sums, str(tmp_path)).collect()} == {"empty.png": True, "gone.png": False}
+    sums = spark.createDataFrame([("a.jpg", hashlib.md5(jpeg(40, 50)).hexdigest()), ("gone.png", "x")], "filename string, md5 string")
+    assert {r.filename: r.ok for r in tables.verify_checksums(spark, sums, str(tmp_path)).collect()} == {"a.jpg": True, "gone.png": False}
 
 
 def test_json_and_csv(spark, tmp_path):
