@@ -121,10 +121,11 @@ def copies(k, seg, doc, packed, by_document: bool) -> tuple[np.ndarray, np.ndarr
     k, seg, doc = k[order], seg[order], doc[order]
     head = np.ones(len(k), bool)
     head[1:] = (k[1:] != k[:-1]) | (seg[1:] != seg[:-1])
-    if not by_document:
-        return order, ~head
-    first = doc[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-    return order, doc > first
+    first = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
+    if by_document:
+        return order, doc > doc[first]
+    place = packed[order]  # a row that is there twice doesn't repeat itself
+    return order, (doc != doc[first]) | (place != place[first])
 
 
 def run_rows(doc, packed, length: int) -> tuple[np.ndarray, ...]:

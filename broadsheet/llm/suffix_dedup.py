@@ -95,8 +95,11 @@ def repeated_windows(t: pa.Table):
     doc, part = np.repeat(doc, many), np.repeat(part, many)
     bucket = refined_buckets(data, starts, LENGTH)
     order = np.lexsort((at, part, doc, bucket))
-    again = np.r_[False, bucket[order][1:] == bucket[order][:-1]]
-    doc, part, at = (x[order[again]] for x in (doc, part, at))
+    bucket, doc, part, at = (x[order] for x in (bucket, doc, part, at))
+    head = np.r_[True, bucket[1:] != bucket[:-1]]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    again = (doc != doc[first]) | (part != part[first]) | (at != at[first])
+    doc, part, at = doc[again], part[again], at[again]
     return doc, part, at, at + LENGTH
 
 
