@@ -200,7 +200,10 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def overlaps(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[documents, documents]: sizes of the multiset intersections of the bags, as products of 0/1 matrices."""
+    """[documents, documents]: sizes of the multiset intersections of different bags, as products of 0/1 matrices.
+
+    The diagonal counts what other bags have too.
+    """
     n = len(sizes)
     doc = np.repeat(np.repeat(np.arange(n), sizes), weights)
     copy = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)  # the k-th of a shingle is an element of its own
