@@ -254,3 +254,27 @@ def test_ranges_are_joined(spark):
     index = spark.createDataFrame([("f", 0, 10), ("f", 10, 10), ("f", 5_000_000, 10), ("g", 0, 10)], "file string, offset long, length long")
     got = sorted((r.file, r.begin, r.stop, len(r.records)) for r in warc.ranges(index).collect())
     assert got == [("f", 0, 20, 2), ("f", 5_000_000, 5_000_010, 1), ("g", 0, 10, 1)]
+
+
+@needs_model
+def test_relational_lattice_equals_the_batches(spark):
+    from broadsheet.llm.lattice import encode_relational
+
+    rng = random.Random(7)
+    texts = ["", None, "Hello  world", "的é😀", "x" * 40, " a"] + ["".join(rng.choice("ab  é中,.tThe ing01") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {r.doc_id: r.ids for r in sentencepiece.encode(frame).collect()}
+    assert {r.doc_id: r.ids for r in encode_relational(frame).collect()} == wanted
+
+
+def test_relational_viterbi(spark):
+    from broadsheet.llm.lattice import encode_relational
+
+    pieces = ["▁", "a", "b", "▁a", "ab", "ba", "aba"]
+    table = sentencepiece.PieceTable(["<unk>", *pieces], [0.0, -3.0, -2.0, -2.5, -2.2, -2.1, -2.3, -4.9], ["unknown", *["normal"] * 7], False, True)
+    texts = ["ab aba", "bbaab", "aéb", "abababa ba"]
+    got = {r.doc_id: r.ids for r in encode_relational(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table).collect()}
+    for i, t in enumerate(texts):
+        score = lambda ids: sum(table.scores[x] if x else -14.9 for x in ids)
+        coded = table.encode_words(sorted(set(table.words(t))))
+        assert score(got[i]) == pytest.approx(score([x for w in table.words(t) for x in coded[w]]))
