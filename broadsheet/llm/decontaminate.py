@@ -123,7 +123,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, set_limit: int =
 
     Characters between words stay; a removed word leaves the white space around it.
     """
-    rows = marked(docs, test_windows(items, n), set_limit)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")  # no name can clash
+    rows = marked(packed, test_windows(items, n), set_limit)
     rows = rows.withColumn("_runs", runs(F.col("_hits"))).withColumn("_hit", F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"]))
     rows = rows.where((F.col("_hit") == 0) | (F.col("_hit") <= most * F.col("_n")))
 
@@ -132,7 +133,13 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, set_limit: int =
         return F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))
 
     cut = let(F.struct(F.split("text", CASED_WORD, -1).alias("g"), F.regexp_extract_all("text", F.lit(f"({CASED_WORD})"), F.lit(1)).alias("w")), lambda x: rest(x["g"], x["w"], F.col("_runs")))
-    rows = rows.withColumn("text", F.when(F.col("_hit") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return with_text(docs, rows, cut, F.col("_hit") > 0)
+
+
+def with_text(docs: DataFrame, rows: DataFrame, text: Column, changed: Column) -> DataFrame:
+    """The columns of ``docs`` from ``rows`` (doc, text): changed texts are new, and so are their lengths in n_chars."""
+    rows = rows.withColumn("text", F.when(changed, text).otherwise(F.col("text"))).withColumn("_changed", changed)
+    out = {c: F.col("doc")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return rows.select(*(v.alias(c) for c, v in out.items()))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import binary_rows, bounded_batches, mix64, tidy, word_bounds
 from .segments import doc_groups
@@ -171,14 +172,32 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, is_labelled: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with lang_pred, score (share of that language), and the chosen set: languages, shares.
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
 
-    ``is_labelled`` selects the rows to learn from (default: those that aren't held out); ``keep``: columns to carry.
-    """
+
+def identified(docs: DataFrame, is_labelled: Column | None, keep: list[str]) -> DataFrame:
+    """(doc, lang_pred, score, languages, shares); ``doc`` is a struct of the columns to keep, whatever their names."""
     bounded_batches(docs.sparkSession)
     labels, table = learn(docs, ~held_out() if is_labelled is None else is_labelled)
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(predicted(labels, table, keep), f"{kinds}, lang_pred string, score double, languages array<string>, shares array<double>")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+    )
+    schema = T.StructType([rows.schema["doc"], *FOUND.fields])
+    return rows.mapInArrow(predicted(labels, table, ["doc"]), schema)
+
+
+def identify(docs: DataFrame, is_labelled: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score (share of that language), and the chosen set: languages, shares.
+
+    ``is_labelled`` selects the rows to learn from (default: those that aren't held out); the new columns take the place
+    of kept ones of the same name.
+    """
+    fresh = ("lang_pred", "score", "languages", "shares")
+    found = identified(docs, is_labelled, list(keep))
+    return found.select(*(F.col("doc")[c].alias(c) for c in keep if c not in fresh), *fresh)
+
+
+def keep_identified(docs: DataFrame, is_labelled: Column | None = None) -> DataFrame:
+    """``docs`` without those in which no language is found; ``lang`` becomes the prediction."""
+    found = identified(docs, is_labelled, docs.columns).where(F.col("lang_pred") != "und")
+    return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .decontaminate import let
+from .decontaminate import let, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -235,7 +235,8 @@ def count_of(k: int) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each found span replaced by its kind, as in <EMAIL>; of overlapping spans, one label for all."""
-    marked = docs.withColumn("_c", candidates(F.col("text")))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")  # no name can clash
+    marked = packed.withColumn("_c", candidates(F.col("text")))
     weight = learn(marked)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     kind = "struct<p:int,t:array<string>>"
@@ -250,9 +251,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return let(F.aggregate(spans, zero, cut), lambda a: F.concat(F.array_join(a["t"], ""), F.substring(text, a["p"] + 1, F.length(text))))
 
     marked = marked.withColumn("_c", accepted(F.col("_c"), weight))
-    changed = F.size("_c") > 0
-    text = F.when(changed, rest(F.col("text"), F.col("_c"))).otherwise(F.col("text"))
-    out = marked.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return with_text(docs, marked, rest(F.col("text"), F.col("_c")), F.size("_c") > 0)

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -18,6 +19,8 @@ def test_pipeline(spark, tmp_path):
     rows += [(100, rows[0][1], "en", "s", 0), (101, rows[1][1] + " tail", "de", "s", 0), (102, "12 34 ?!", "en", "s", 0), (103, None, None, None, None)]
     rows += [(104, text("en", 100) + " " + item + " " + text("en", 20), "en", "s", 0), (105, item, "en", "s", 0), (106, text("de", 100) + " mail a.b@c.de now", "de", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ("score", "lang_pred", "_c", "_n", "_hits", "_row", "_runs", "_changed", "doc", "bin", "part", "ids", "node", "class_id", "a b")
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in clashing))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now = docs
@@ -27,6 +30,7 @@ def test_pipeline(spark, tmp_path):
         now.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     kept = {r.doc_id: r for r in now.collect()}
+    assert all(r[c] == c for r in kept.values() for c in clashing)
     assert set(kept) == {*range(40), 104, 106}
     assert item not in kept[104].text and kept[104].n_chars == len(kept[104].text)
     assert kept[106].text.endswith("mail <EMAIL> now") and kept[3].text == rows[3][1]
