@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as K
 
 from ..functions import text as T
 from . import entities, topics
@@ -102,8 +103,7 @@ def answers(df: DataFrame, prompt: Column, client: Callable[[], Client], system:
                     own.sleep(pause)
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(got, pa.string())], names=[*names, out])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, {out} string")
+    return rows.mapInArrow(run, K.StructType([*df.schema.fields, K.StructField(out, K.StringType())]))
 
 
 def ask(df: DataFrame, name: str, client: Callable[[], Client], most: int | None = None, **columns: Column) -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from broadsheet.llm.common import read_table, stored
 from broadsheet.llm.decontaminate import remove_spans
-from broadsheet.llm.language import identify
+from broadsheet.llm.language import keep_identified
 from broadsheet.llm.minhash import keep_first
 from broadsheet.llm.pii import redact
 from broadsheet.llm.sentencepiece import encode
@@ -15,8 +14,7 @@ from broadsheet.llm.sentencepiece import encode
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; ``lang`` becomes the prediction."""
-    found = identify(docs, keep=docs.columns).where(F.col("lang_pred") != "und")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
