@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,7 +31,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote in this session's scratch folder; results that read them end with it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:

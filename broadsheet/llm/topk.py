@@ -17,17 +17,19 @@ least vector), a repeated candidate row counts as often as it stands there; empt
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import scratch_path, tidy
 
 BLOCK = 4096
 SAMPLE = 2048
 BATCH = 2048
+AT_ONCE = 16  # blocks of queries in one plan; beyond, results are written group by group
 FEW = 0.02  # share of pairs below which survivors are listed
 USEFUL = 0.8  # share of pairs that a level may leave to be worth its cost
 LEVELS = (2, 8, 16)
@@ -156,15 +158,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     sample_ids, sample_x = sample["vec_id"].to_numpy(), matrix(sample["embedding"])
-    found = None
-    for b in range(blocks):
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def searched(b: int) -> DataFrame:
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about BLOCK rows
         ids, q = block["vec_id"].to_numpy(), matrix(block["embedding"], sample_x.shape[1])
         x = np.pad(sample_x, ((0, 0), (0, q.shape[1] - sample_x.shape[1])))
         score = q @ x.T - 1e-6 * np.abs(q) @ np.abs(x.T)  # no more than the true score, whatever the rounding
         score[ids[:, None] == sample_ids[None, :]] = -np.inf
         floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
-        part = rows.mapInArrow(search(ids, q, np.floor(floor), k), FOUND)
-        found = part if found is None else found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return rows.mapInArrow(search(ids, q, np.floor(floor), k), FOUND)
+
+    path = scratch_path(spark, "topk")
+    out = None
+    for first in range(0, blocks, AT_ONCE):  # a block's queries have seen all rows, so each group of blocks is complete
+        found = reduce(DataFrame.unionByName, [searched(b) for b in range(first, min(first + AT_ONCE, blocks))])
+        out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > AT_ONCE:
+            out.write.mode("append").parquet(path)
+    return out if blocks <= AT_ONCE else spark.read.schema(out.schema).parquet(path)

@@ -126,9 +126,9 @@ def brute_top(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("n,block,sample,batch", [(300, 4096, 2048, 2048), (300, 5, 30, 17), (15, 4096, 2048, 2048)])
+@pytest.mark.parametrize("n,block,sample,batch", [(300, 4096, 2048, 2048), (300, 5, 30, 17), (15, 4096, 2048, 2048), (120, 1, 30, 50)])
 def test_top_k(spark, monkeypatch, n, block, sample, batch):
-    for name, value in (("BLOCK", block), ("SAMPLE", sample), ("BATCH", batch)):
+    for name, value in (("BLOCK", block), ("SAMPLE", sample), ("BATCH", batch), ("AT_ONCE", 2 if block == 1 else 16)):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(n)
     centres = rng.normal(size=(5, 16))
