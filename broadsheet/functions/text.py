@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where sentences end, the characters that OCR cleaning keeps, heading lines of exported pages, keywords.
 SENTENCE_END = r"(?<=[.!?])\s+"
+OCR_KEPT = r"a-zA-ZäöüÄÖÜß0-9\s.,;:!?()\-"
+PAGE_HEADING = r"^(?:Source:|Date:|Total blocks:|===|--- Block|Position:)"
+KEYWORD = r"[A-Za-zÄÖÜäöüß\-]{3,}"
 
 # A small German and English stop list for keywords.
 KEYWORD_STOPS = (
@@ -72,7 +76,7 @@ def remove_numbers(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"(?U)\d+", ""))
 
 
-def clean_ocr(c: Column, allowed: str = r"a-zA-ZäöüÄÖÜß0-9\s.,;:!?()\-", replace_with: str = "") -> Column:
+def clean_ocr(c: Column, allowed: str = OCR_KEPT, replace_with: str = "") -> Column:
     """Only characters of the class ``allowed`` (brackets around it may stand) stay."""
     inner = allowed[1:-1] if allowed.startswith("[") and allowed.endswith("]") else allowed
     return collapse(F.regexp_replace(c, f"(?U)[^{inner}]", replace_with.replace("\\", r"\\").replace("$", r"\$")))
@@ -150,9 +154,8 @@ def snippets(docs: Column, n: int = 3, words: int = 64) -> Column:
 
 def page_text(c: Column) -> Column:
     """Exported page text without its heading lines, in one line."""
-    heading = r"^(?:Source:|Date:|Total blocks:|===|--- Block|Position:)"
     lines = F.transform(F.split(c, "\n"), collapse_ends)
-    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(heading)), " ")
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(PAGE_HEADING)), " ")
 
 
 def topic_lines(c: Column, most: int = 10) -> Column:
@@ -168,7 +171,7 @@ def topic_label(words: Column, k: int = 2) -> Column:
 
 
 def keyword_tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-zÄÖÜäöüß\-]{3,})"), F.lit(1)), F.lower), lambda w: ~w.isin(KEYWORD_STOPS))
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(f"({KEYWORD})"), F.lit(1)), F.lower), lambda w: ~w.isin(KEYWORD_STOPS))
 
 
 def highlight(c: Column, query: str, before: str = "**", after: str = "**") -> Column:
