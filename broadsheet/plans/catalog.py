@@ -99,14 +99,21 @@ def c6(spark, sf_dir):
     return blocks.chunks(docs(spark, sf_dir)).select("doc_id", "chunk")
 
 
-@entry("c7_split_into_docs")
+SPLIT = r"""WITH s AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+f AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 200) AS a,
+list_filter(list_transform(range(0, (len(p) + 4) // 5), lambda k: regexp_replace(array_to_string(p[5 * k + 1:5 * k + 5], ' '), '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 150) AS b FROM s),
+d AS (SELECT doc_id, CASE WHEN len(a) < 3 THEN b ELSE a END AS docs FROM f)
+"""
+
+
+@entry("c7_split_into_docs", SPLIT + "SELECT doc_id, CAST(unnest(range(0, len(docs))) AS INT) AS part, unnest(docs) AS doc FROM d")
 def c7(spark, sf_dir):
     return blocks.documents(docs(spark, sf_dir)).select("doc_id", "part", "doc")
 
 
-@entry("c8_snippets")
+@entry("c8_snippets", SPLIT + r", i AS (SELECT doc_id, docs, list_filter([CASE WHEN len(docs) > 0 THEN 1 END, CASE WHEN len(docs) > 1 THEN len(docs) // 2 + 1 END, CASE WHEN len(docs) > 2 THEN len(docs) END], lambda x: x IS NOT NULL) AS i FROM d) SELECT doc_id, array_to_string(list_transform(i, lambda k: array_to_string(list_slice(string_split(trim(regexp_replace(docs[k], '\s+', ' ', 'g')), ' '), 1, 64), ' ')), '|') AS snippets FROM i")
 def c8(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.snippets(T.split_into_docs(F.col("text"))).alias("snippets"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.snippets(T.split_into_docs(F.col("text"))), "|").alias("snippets"))
 
 
 @entry("c4_page_text", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^(Source:|Date:|Total blocks:|===|--- Block|Position:)')), ' ') AS result FROM documents")
@@ -484,7 +491,7 @@ def a32(spark, sf_dir):
     return topics.keywords(docs(spark, sf_dir), "doc_id")
 
 
-@entry("x8_ngram_keywords")
+@entry("x8_ngram_keywords", "WITH k AS (SELECT doc_id, list_filter(w, lambda x: NOT list_contains(['" + "','".join(T.KEYWORD_STOPS) + "'], x)) AS w FROM (" + KEYWORDS + ")), t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM k WHERE len(w) > 0), c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS INT) AS rank, term, n FROM c) SELECT * FROM r WHERE rank <= 5")
 def x8(spark, sf_dir):
     return topics.ngram_keywords(docs(spark, sf_dir), "doc_id")
 
@@ -632,3 +639,185 @@ def a20(spark, sf_dir):
     made = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN array({one('Picture', 0.75)}, {one('Text', 0.25)}, {one('Title', 0.5)}) ELSE array({one('Text', 0.25)}) END").cast(kind)
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("image_file"), F.lit(None).cast("int").alias("total_detections"), F.lit(None).cast("struct<by_class:map<string,int>>").alias("summary"), made.alias("detections"))
     return explore.detection_stats(rows).drop("by_class")
+
+
+# -- exploration: captions, layouts, files ----------------------------------------------------------------------------
+
+P = V.with_(V.PAIRS)
+
+
+@entry("s3_path_scan", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def s3(spark, sf_dir):
+    return spark.sql(f"SELECT lang, count(*) AS n, sum(n_chars) AS chars FROM parquet.`{sf_dir}/documents.parquet` GROUP BY lang")
+
+
+@entry("f8_with_caption", P + "SELECT fulltext_basename FROM pairs WHERE trim(coalesce(caption, '')) <> ''")
+def f8(spark, sf_dir):
+    return explore.with_caption(V.pairs(spark, sf_dir)).select("fulltext_basename")
+
+
+@entry("f8_without_caption", P + "SELECT fulltext_basename FROM pairs WHERE trim(coalesce(caption, '')) = ''")
+def f8b(spark, sf_dir):
+    return explore.with_caption(V.pairs(spark, sf_dir), False).select("fulltext_basename")
+
+
+@entry("f9_confident", P + "SELECT fulltext_basename FROM pairs WHERE coalesce(confidence, 0) >= 0.5")
+def f9(spark, sf_dir):
+    return explore.confident(V.pairs(spark, sf_dir), 0.5).select("fulltext_basename")
+
+
+@entry("f10_caption_search", P + "SELECT fulltext_basename, date, replace(caption, 'the', '**the**') AS marked FROM pairs WHERE contains(lower(caption), 'the') ORDER BY date DESC NULLS LAST, fulltext_basename LIMIT 50")
+def f10(spark, sf_dir):
+    return explore.caption_search(V.pairs(spark, sf_dir), "the").select("fulltext_basename", F.col("date").cast("timestamp").alias("date"), "marked")
+
+
+@entry("t4_gallery", P + "SELECT fulltext_basename FROM pairs ORDER BY date NULLS FIRST, fulltext_basename LIMIT 12 OFFSET 12")
+def t4(spark, sf_dir):
+    return explore.gallery(V.pairs(spark, sf_dir), "date", False, 2).select("fulltext_basename")
+
+
+@entry("t4_gallery_by_confidence", P + "SELECT fulltext_basename FROM pairs ORDER BY coalesce(confidence, 0) DESC, fulltext_basename LIMIT 12")
+def t4b(spark, sf_dir):
+    return explore.gallery(V.pairs(spark, sf_dir), "confidence").select("fulltext_basename")
+
+
+@entry("a31_caption_coverage", P + "SELECT count(*) AS total, count(*) FILTER (trim(coalesce(caption, '')) <> '') AS with_caption, round(count(*) FILTER (trim(coalesce(caption, '')) <> '') * 100.0::DOUBLE / count(*), 6) AS percent FROM pairs")
+def a31(spark, sf_dir):
+    return explore.caption_coverage(V.pairs(spark, sf_dir))
+
+
+@entry("a31_match_rate", P + "SELECT source, count(*) AS total, count(*) FILTER (confidence >= 0.5) AS matched, round(count(*) FILTER (confidence >= 0.5) * 100.0::DOUBLE / count(*), 6) AS percent FROM pairs GROUP BY source")
+def a31b(spark, sf_dir):
+    return explore.match_rate(V.pairs(spark, sf_dir), F.col("picture.confidence") >= 0.5, "source")
+
+
+@entry("m2_picture_area", P + "SELECT fulltext_basename, area FROM pairs")
+def m2(spark, sf_dir):
+    return explore.picture_area(V.pairs(spark, sf_dir)).select("fulltext_basename", "area")
+
+
+@entry("j13_caption_entities", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + "SELECT fulltext_basename, entity, count(*) AS n FROM pairs JOIN (SELECT lower(entity) AS k, entity FROM ner) ON contains(lower(caption), k) GROUP BY ALL")
+def j13(spark, sf_dir):
+    return explore.caption_entities(V.pairs(spark, sf_dir), V.ner(spark, sf_dir)).groupBy("fulltext_basename", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("j14_region_text", "SELECT 'a/p' || doc_id || '.jpg' AS image_file, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) || chr(10) || chr(10) || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS text FROM documents")
+def j14(spark, sf_dir):
+    return explore.region_text(V.layouts(spark, sf_dir), 4, 2, 12, 3)
+
+
+@entry("f11_selected_classes", "SELECT 'a/p' || doc_id || '.jpg' AS image_file, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM documents")
+def f11(spark, sf_dir):
+    return explore.selected_classes(V.layouts(spark, sf_dir), ["Text", "Title"]).select("image_file", F.size("detections").alias("n"))
+
+
+@entry("j15_multimodal_index", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + """SELECT 'p' || doc_id AS page_id, strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') AS date, 1 AS text_regions, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS pictures,
+least(lang, source) AS dominant_emotion, CAST(0.5 AS DOUBLE) AS emotion_confidence, coalesce(c, 0) AS entities, CAST(1 AS BIGINT) AS captions
+FROM documents LEFT JOIN (SELECT date, count(*) AS c FROM ner GROUP BY date) x ON x.date = strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d')""")
+def j15(spark, sf_dir):
+    # two emotions per page, as many times: the lesser name counts
+    page = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("page_id")
+    felt = docs(spark, sf_dir).select(page, F.explode(F.array(F.struct(F.col("lang").alias("emotion"), F.lit(0.25).alias("confidence")), F.struct(F.col("source").alias("emotion"), F.lit(0.75).alias("confidence")))).alias("e")).select("page_id", "e.*")
+    return explore.multimodal_index(V.layouts(spark, sf_dir), felt, V.ner(spark, sf_dir), V.pairs(spark, sf_dir))
+
+
+@on_lines("f12_type_ignoring_case", "SELECT line_id, entity_text FROM ea WHERE lower(entity_type) = lower('PERSON')", V.ENTITIES_A)
+def f12(spark, sf_dir):
+    return A(spark, sf_dir).where(F.lower("entity_type") == "PERSON".lower()).select("line_id", "entity_text")
+
+
+@on_lines("a15_dated_counts", "SELECT date, type, count(*) AS count FROM (SELECT try_strptime(CASE WHEN length(entity_text) % 5 = 0 THEN 'unknown' ELSE strftime(date, '%Y-%m-%d') END, '%Y-%m-%d') AS date, entity_type AS type FROM eb JOIN lines USING (line_id)) WHERE date IS NOT NULL GROUP BY ALL", V.ENTITIES_B)
+def a15b(spark, sf_dir):
+    rows = V.ner(spark, sf_dir).select(F.when(F.length("entity") % 5 == 0, "unknown").otherwise(F.col("date")).alias("Date"), F.col("type").alias("Type"))
+    return explore.entity_counts(rows).select(F.col("date").cast("timestamp").alias("date"), F.col("Type").alias("type"), "count")
+
+
+@on_lines("k6_date_graph", "SELECT DISTINCT strftime(date, '%Y-%m-%d') AS source, entity_text AS target, 1 AS weight FROM eb JOIN lines USING (line_id)", V.ENTITIES_B)
+def k6(spark, sf_dir):
+    return explore.date_graph(V.ner(spark, sf_dir))
+
+
+@on_lines("k7_issue_export", """, b AS (SELECT strftime(date, '%Y-%m') AS uid, CAST(text_block_id AS BIGINT) AS page, string_agg(text, chr(10) || chr(10) ORDER BY y) AS t FROM lines GROUP BY ALL)
+SELECT uid, string_agg('=== PAGE ' || page || ' ===' || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY page) AS value FROM b GROUP BY uid""")
+def k7(spark, sf_dir):
+    rows = V.lines(spark, sf_dir).select(F.date_format("date", "yyyy-MM").alias("uid"), F.col("text_block_id").cast("long").alias("page"), F.col("y").alias("block_order"), "text")
+    return blocks.issue_export(rows)
+
+
+@on_lines("c10_issue_texts", ", b AS (SELECT strftime(date, '%Y-%m') AS issue, lang AS date, CAST(text_block_id AS BIGINT) AS page, string_agg(text, ' ' ORDER BY y) AS t FROM lines GROUP BY ALL) SELECT date, issue, string_agg(t, ' ' ORDER BY page) AS text, count(*) AS num_pages FROM b WHERE length(t) >= 100 GROUP BY ALL")
+def c10(spark, sf_dir):
+    page = V.lines(spark, sf_dir).groupBy(F.date_format("date", "yyyy-MM").alias("issue"), F.col("lang").alias("date"), F.col("text_block_id").cast("long").alias("page")).agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY y)").alias("text"))
+    return blocks.issue_texts(page)
+
+
+@on_lines("j9_metadata_join", ", m AS (SELECT source, count(*) AS page_count FROM documents GROUP BY source) SELECT line_id, page_count FROM lines LEFT JOIN m ON m.source = lines.source AND m.source <> 'src3'")
+def j9(spark, sf_dir):
+    issues = docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("page_count")).where("source <> 'src3'")
+    return V.lines(spark, sf_dir).join(issues, "source", "left").select("line_id", "page_count")
+
+
+@on_lines("j11_empty_files", "SELECT DISTINCT source || '.xml' AS filename FROM documents WHERE source || '.xml' NOT IN (SELECT filename FROM lines WHERE y > 60)")
+def j11(spark, sf_dir):
+    from ..sources.xml import empty_files
+
+    return empty_files(docs(spark, sf_dir).select(F.concat("source", F.lit(".xml")).alias("filename")).distinct(), V.lines(spark, sf_dir).where("y > 60"))
+
+
+@entry("j12_completeness", """WITH e AS (SELECT '/d/' || source || '.xml' AS path, doc_id % 3 = 0 AS i, doc_id % 2 = 0 AND doc_id % 10 > 0 AS a, doc_id % 10 > 0 AS named FROM documents)
+SELECT path, count(*) AS expected, count(*) FILTER (i) AS images_found, count(*) FILTER (a) AS alto_found, CAST(count(*) FILTER (named AND NOT a) AS INT) AS missing_alto, CAST(count(*) FILTER (NOT i) AS INT) AS missing_images FROM e GROUP BY path""")
+def j12(spark, sf_dir):
+    from ..sources.xml import completeness
+
+    d = docs(spark, sf_dir)
+    number = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    made = d.select(F.concat(F.lit("/d/"), "source", F.lit(".xml")).alias("path"), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("X"), F.translate(F.col("doc_id").cast("string"), "0123456789", "abcdefghij"))).otherwise(F.concat(F.lit("F"), number)).alias("file_id"), F.lit("image/jpeg").alias("mimetype"), "doc_id", "source")
+    present = made.where("doc_id % 3 = 0").select(F.concat(F.lit("/d/"), "file_id", F.lit(".jpg")).alias("path"))
+    pages = made.where("doc_id % 2 = 0 and doc_id % 10 > 0").select(F.format_string("/d/fulltext/%s_%03d.xml", "source", "doc_id").alias("path"))
+    out = completeness(made.select("path", "file_id", "mimetype"), present.unionByName(pages))
+    return out.withColumn("missing_alto", F.size("missing_alto")).withColumn("missing_images", F.size("missing_images"))
+
+
+@on_lines("a13_file_coverage", "SELECT count(DISTINCT filename) FILTER (y > 60) AS loaded, count(DISTINCT filename) AS files, count(DISTINCT filename) FILTER (y > 60) * 100.0::DOUBLE / count(DISTINCT filename) AS percent FROM lines")
+def a13(spark, sf_dir):
+    from .engine import file_coverage
+
+    rows = V.lines(spark, sf_dir)
+    return file_coverage(rows.where("y > 60"), rows)
+
+
+@entry("a29_image_coverage", "SELECT count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS downloaded, count(*) FILTER (doc_id % 3 > 0) AS missing, count(*) FILTER (doc_id % 3 = 0) * 100.0::DOUBLE / count(*) AS percent FROM documents")
+def a29(spark, sf_dir):
+    from ..sources.images import coverage
+
+    target = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("/i/"), F.col("doc_id").cast("string")).alias("target"))
+    return coverage(target.select("target"), target.where("doc_id % 3 = 0").select(F.col("target").alias("path")))
+
+
+@entry("c14_topic_label", "SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS label FROM documents")
+def c14(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.topic_label(F.split("text", " ")).alias("label"))
+
+
+@entry("c15_image_target", "SELECT doc_id, '/img/1901/' || source || '/F' || doc_id || '.jpg' AS target FROM documents")
+def c15(spark, sf_dir):
+    from ..sources.xml import image_targets
+
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("/raw/x/1901/"), "source", F.lit("/m.xml")).alias("path"), F.concat(F.lit("F"), F.col("doc_id").cast("string")).alias("file_id"), F.lit(".jpg").alias("extension"))
+    return image_targets(rows, "/img", "/raw/x").select("doc_id", "target")
+
+
+@entry("u2_append", "SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, CAST(quality AS VARCHAR) FROM labels")
+def u2(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", "lang").unionByName(V.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("lang")))
+
+
+@on_lines("t3_top_entities", "SELECT entity_text, count(*) AS count FROM ea GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", V.ENTITIES_A)
+def t3(spark, sf_dir):
+    return entities.value_counts(A(spark, sf_dir), "entity_text").limit(20)
+
+
+@on_lines("a30_validation_summary", "SELECT count(*) AS total, count(*) FILTER (length(text) >= 50) AS valid, count(*) FILTER (length(text) < 50) AS invalid FROM lines")
+def a30(spark, sf_dir):
+    from ..sources.images import validation_summary
+
+    return validation_summary(V.lines(spark, sf_dir).select((F.length("text") >= 50).alias("is_valid")))

@@ -85,3 +85,39 @@ mentioned AS (SELECT split_part(line_id, '_', 1) AS block, entity_text AS entity
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture-caption pair per document: dated names but for each seventh, confidences but for each fifth."""
+    day = F.expr("date_format(date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int)), 'yyyy-MM-dd')")
+    box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("doc_id") % 50).cast("double").alias("x2"), (F.col("doc_id") % 30).cast("double").alias("y2"), (F.col("doc_id") % 50).cast("double").alias("width"), (F.col("doc_id") % 30).cast("double").alias("height"))
+    said = F.when(F.col("doc_id") % 4 == 1, " ").when(F.col("doc_id") % 4 > 1, F.substring("text", 1, 80))
+    return table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("odd"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("N_"), day, F.lit("_"), F.col("doc_id").cast("string"))).alias("fulltext_basename"),
+        F.concat(F.lit("a/p"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("source_fulltext"),
+        F.struct(F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 100) / 100.0).alias("confidence"), box.alias("bbox")).alias("picture"), F.struct(said.alias("text_content")).alias("caption"), "source",
+    )
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of a page per document: a text, and a picture and a title on even pages."""
+    one = lambda c, p, x: f"named_struct('class', '{c}', 'confidence', {p}D, 'bbox', named_struct('x1', {x}D, 'y1', 0D, 'x2', {x + 10}D, 'y2', 10D), 'text_content', substring(text, 1, 20))"
+    kind = "array<struct<class:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text_content:string>>"
+    made = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN array({one('Picture', 0.75, 0)}, {one('Text', 0.25, 10)}, {one('Title', 0.5, 20)}) ELSE array({one('Text', 0.25, 5)}) END").cast(kind)
+    day = F.expr("date_format(date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int)), 'yyyy-MM-dd')")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("a/p"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("image_file"), day.alias("date"), F.lit(None).cast("int").alias("total_detections"),
+        F.lit(None).cast("struct<by_class:map<string,int>>").alias("summary"), made.alias("detections"),
+    )
+
+
+def ner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, entity and type of the longer entities."""
+    rows = entities(spark, sf_dir, "b").join(lines(spark, sf_dir).select("line_id", "date"), "line_id")
+    return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("entity_text").alias("entity"), F.col("entity_type").alias("type"))
+
+
+PAIRS = """pairs AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'odd' || doc_id ELSE 'N_' || strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') || '_' || doc_id END AS fulltext_basename,
+  CASE WHEN doc_id % 7 > 0 THEN CAST(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT) AS TIMESTAMP) END AS date, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 100) / 100.0 END AS confidence,
+  CAST(doc_id % 50 AS DOUBLE) * CAST(doc_id % 30 AS DOUBLE) AS area, CASE WHEN doc_id % 4 = 1 THEN ' ' WHEN doc_id % 4 > 1 THEN substr(text, 1, 80) END AS caption, source, doc_id FROM documents)"""
+NER = "ner AS (SELECT strftime(date, '%Y-%m-%d') AS date, entity_text AS entity, entity_type AS type FROM eb JOIN lines USING (line_id))"
