@@ -25,6 +25,11 @@ KEYWORD_STOPS = (
 PLAIN_LETTERS = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ſ": "s", "ı": "i"}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once per row even where lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space to one blank, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
@@ -132,24 +137,31 @@ def collapse_ends(c: Column) -> Column:
 
 def sentence_windows(c: Column, size: int = 5, least: int = 150) -> Column:
     """Windows of ``size`` sentences, joined, of at least so many characters."""
-    parts = F.split(c, SENTENCE_END)
-    starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(size))
-    pieces = F.transform(starts, lambda i: collapse_ends(F.array_join(F.slice(parts, i + 1, size), " ")))
-    return F.filter(pieces, lambda p: F.length(p) >= least)
+
+    def windows(parts):
+        starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(size))
+        pieces = F.transform(starts, lambda i: collapse_ends(F.array_join(F.slice(parts, i + 1, size), " ")))
+        return F.filter(pieces, lambda p: F.length(p) >= least)
+
+    return let(F.split(c, SENTENCE_END), windows)
 
 
 def split_into_docs(c: Column, enough: int = 3) -> Column:
     """Pages, or else paragraphs, of 200 characters and more; sentence windows if there are fewer than ``enough``."""
     chunks = F.when(F.contains(c, F.lit("=== PAGE")), F.split(c, r"(?m)^=== PAGE .*?===$")).otherwise(F.split(c, r"\n\s*\n"))
     docs = F.filter(F.transform(chunks, collapse), lambda d: F.length(d) >= 200)
-    return F.when(F.size(docs) < enough, sentence_windows(c)).otherwise(docs)
+    return let(docs, lambda d: F.when(F.size(d) < enough, sentence_windows(c)).otherwise(d))
 
 
 def snippets(docs: Column, n: int = 3, words: int = 64) -> Column:
     """First, middle and last document, cut to so many words."""
-    size = F.size(docs)
-    places = F.array_compact(F.array(F.when(size > 0, F.lit(0)), F.when(size > 1, F.floor(size / 2).cast("int")), F.when(size > 2, size - 1)))
-    return F.transform(F.slice(places, 1, n), lambda i: F.array_join(F.slice(F.split(collapse(F.get(docs, i)), " "), 1, words), " "))
+
+    def chosen(d):
+        size = F.size(d)
+        places = F.array_compact(F.array(F.when(size > 0, F.lit(0)), F.when(size > 1, F.floor(size / 2).cast("int")), F.when(size > 2, size - 1)))
+        return F.transform(F.slice(places, 1, n), lambda i: F.array_join(F.slice(F.split(collapse(F.get(d, i)), " "), 1, words), " "))
+
+    return let(docs, chosen)
 
 
 def page_text(c: Column) -> Column:
@@ -162,8 +174,12 @@ def topic_lines(c: Column, most: int = 10) -> Column:
     """Topics from an answer of one per line: no bullets or numbers, two to eight words; else its first five lines."""
     bare = F.transform(F.split(c, "\n"), lambda x: collapse_ends(F.regexp_replace(collapse_ends(x), r"^(?:[-*•]+|\d+[.)])\s*", "")))
     lines = F.filter(bare, lambda x: x != "")
-    fine = F.filter(lines, lambda x: F.size(F.split(x, r"\s+")).between(2, 8))
-    return F.when(F.size(fine) > 0, F.slice(fine, 1, most)).otherwise(F.slice(lines, 1, 5))
+
+    def chosen(own):
+        fine = F.filter(own, lambda x: F.size(F.split(x, r"\s+")).between(2, 8))
+        return let(fine, lambda f: F.when(F.size(f) > 0, F.slice(f, 1, most)).otherwise(F.slice(own, 1, 5)))
+
+    return let(lines, chosen)
 
 
 def topic_label(words: Column, k: int = 2) -> Column:

@@ -44,9 +44,12 @@ def keywords(df: DataFrame, key: str, column: str = "text", k: int = 12) -> Data
 
 def ngram_keywords(df: DataFrame, key: str, column: str = "text", k: int = 5, least: int = 1) -> DataFrame:
     """The k most frequent words and pairs of words of each text; ties in alphabetical order."""
-    base = df.select(key, T.keyword_tokens(F.col(column)).alias("w"))
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i < F.size("w")), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    terms = base.where(F.size("w") > 0).select(key, F.explode(F.concat("w", pairs)).alias("term"))
+
+    def both(w):
+        pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i < F.size(w)), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))
+        return F.when(F.size(w) > 0, F.concat(w, pairs))
+
+    terms = df.select(key, F.explode(T.let(T.keyword_tokens(F.col(column)), both)).alias("term"))
     counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     order = Window.partitionBy(key).orderBy(F.desc("n"), "term")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "term", "n")
