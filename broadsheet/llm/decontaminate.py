@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import stored
 
 N = 10
@@ -32,11 +33,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NO_WORD), "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def digest(window: Column) -> Column:
     return F.sha2(F.array_join(window, " "), 256)
 
@@ -73,7 +69,8 @@ def marked(docs: DataFrame, windows: DataFrame, set_limit: int) -> DataFrame:
     if sum(sizes.values()) <= set_limit:
         rows = windows.select("n", "h", "d").distinct().collect()  # set_limit rows at most
         known = [(n, sorted({r["h"] for r in rows if r["n"] == n}), sorted({r["d"] for r in rows if r["n"] == n})) for n in sorted(sizes)]
-        both = docs.withColumn("_x", let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), hits_in_row(w, known).alias("hits"))))
+        found = let(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), hits_in_row(w, known).alias("hits")))
+        both = docs.select("*", F.explode(F.array(found)).alias("_x"))  # a generator's result is computed once, however often it is used
         return both.withColumn("_n", F.col("_x.n").cast("long")).withColumn("_hits", F.col("_x.hits")).drop("_x")
     keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     each = keyed.select("_row", words(F.col("text")).alias("w"))
@@ -125,15 +122,21 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = N, set_limit: int =
     """
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")  # no name can clash
     rows = marked(packed, test_windows(items, n), set_limit)
-    rows = rows.withColumn("_runs", runs(F.col("_hits"))).withColumn("_hit", F.aggregate("_runs", F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"]))
-    rows = rows.where((F.col("_hit") == 0) | (F.col("_hit") <= most * F.col("_n")))
 
     def rest(gaps, cased, gone):
         kept = F.transform(cased, lambda w, i: F.concat(F.when(F.exists(gone, lambda r: (i + 1 >= r["s"]) & (i + 1 < r["e"])), F.lit("")).otherwise(w), F.get(gaps, i + 1)))
         return F.concat(F.get(gaps, F.lit(0)), F.array_join(kept, ""))
 
-    cut = let(F.struct(F.split("text", CASED_WORD, -1).alias("g"), F.regexp_extract_all("text", F.lit(f"({CASED_WORD})"), F.lit(1)).alias("w")), lambda x: rest(x["g"], x["w"], F.col("_runs")))
-    return with_text(docs, rows, cut, F.col("_hit") > 0)
+    def cut(gone):
+        parts = F.struct(F.split("text", CASED_WORD, -1).alias("g"), F.regexp_extract_all("text", F.lit(f"({CASED_WORD})"), F.lit(1)).alias("w"))
+        hit = F.aggregate(gone, F.lit(0).cast("long"), lambda a, r: a + r["e"] - r["s"])
+        return F.struct(hit.alias("hit"), F.when(F.size(gone) > 0, let(parts, lambda x: rest(x["g"], x["w"], gone))).alias("text"))
+
+    # a generator instead of a filter: Catalyst would push the filter down and compute the hits twice
+    judged = rows.select("doc", "text", "_n", F.explode(F.array(let(runs(F.col("_hits")), cut))).alias("_x"))
+    fine = F.filter(F.array("_x"), lambda x: (x["hit"] == 0) | (x["hit"] <= most * F.col("_n")))
+    judged = judged.select("doc", "text", F.explode(fine).alias("_x"))
+    return with_text(docs, judged, F.col("_x.text"), F.col("_x.hit") > 0)
 
 
 def with_text(docs: DataFrame, rows: DataFrame, text: Column, changed: Column) -> DataFrame:

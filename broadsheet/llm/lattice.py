@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decontaminate import let
+from ..functions.text import let
 from .sentencepiece import MODEL, SPACE, PieceTable
 
 

@@ -24,8 +24,9 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import stored
-from .decontaminate import let, with_text
+from .decontaminate import with_text
 
 KINDS = ("email", "ip", "card", "phone")
 
