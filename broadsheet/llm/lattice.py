@@ -18,10 +18,14 @@ from ..functions.text import let
 from .sentencepiece import MODEL, SPACE, PieceTable
 
 
+BROADCAST = 1_000_000  # pieces
+
+
 def pieces(spark: SparkSession, table: PieceTable) -> DataFrame:
     """(piece, id, rank, score) of the normal pieces: as many rows as the vocabulary has."""
     rows = [(p, i, table.rank[i], float(table.scores[i])) for p, i in table.ids.items()]
-    return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
+    out = spark.createDataFrame(rows, "piece string, id int, rank int, score double")
+    return F.broadcast(out) if len(rows) <= BROADCAST else out  # beyond, Spark joins by shuffling
 
 
 def words(text: Column) -> Column:
@@ -34,7 +38,7 @@ def edges(distinct: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """word and its edges (start, length, id, rank, score), starts from 1; an empty list where no piece fits."""
     starts = distinct.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("s"))
     parts = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s") + 1))).alias("l"))
-    found = parts.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(F.broadcast(table), "piece", "left")
+    found = parts.withColumn("piece", F.substring(F.col("word"), F.col("s"), F.col("l"))).join(table, "piece", "left")
     edge = F.when(F.col("id").isNotNull(), F.struct("s", "l", "id", "rank", "score"))
     return found.groupBy("word").agg(F.collect_list(edge).alias("edges"))
 

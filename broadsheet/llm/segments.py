@@ -6,7 +6,8 @@ on the window's symbols alone, so equal windows have equal anchors at equal offs
 occurrence form a *segment* of at most 2L - q symbols; only a key and a fingerprint of each segment are shuffled:
 
 1. ``announce``: each task emits its segments' (anchor key, fingerprint, document, place); segments equal to an earlier
-   one of the same task are settled on the spot, so that a key has at most one row per task and distinct segment.
+   one of the same task are settled on the spot (``UNIT`` segments at a time), so that a passage of very many documents
+   makes a row per task and distinct segment, not per document.
 2. ``settle``: with a key's rows together, copies of an equal earlier segment are settled; segments of a key that has
    several different ones must be compared symbol by symbol and are asked for.  Where a key has more than ``HOT``
    different segments, each window of them gets a key of its own instead, so that no group grows with the corpus.
