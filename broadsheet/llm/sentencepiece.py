@@ -31,7 +31,7 @@ from .common import LEVEL_ODD, bounded_batches, mix64, tidy, times
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MATRIX = 48  # characters of a word up to which words are folded together
-CACHE = 400_000  # words whose pieces a task remembers
+CACHE = 150_000  # words whose pieces a task remembers
 NONE = np.int32(2**31 - 1)
 
 
