@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,7 +32,7 @@ from .common import LEVEL_ODD, bounded_batches, mix64, tidy, times
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MATRIX = 48  # characters of a word up to which words are folded together
-CACHE = 150_000  # words whose pieces a task remembers
+CACHE = 400_000  # words whose pieces a task remembers
 NONE = np.int32(2**31 - 1)
 
 
@@ -261,7 +262,7 @@ ENCODED = "n_chars long, n_words long, n_pieces long, n_bytes_pieces long, ids_s
 
 def encoder(table: PieceTable, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, bytes] = {}  # ids as 32-bit integers
         first_byte, last_byte = (min(table.bytes), max(table.bytes)) if table.has_bytes else (-1, -1)
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts = [t or "" for t in batch["text"].to_pylist()]
@@ -270,10 +271,10 @@ def encoder(table: PieceTable, with_ids: bool) -> Callable:
             if len(known) + len(fresh) > CACHE:
                 known = {}
                 fresh = set(chain.from_iterable(words))
-            known |= table.encode_words(list(fresh))
-            own = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
-            counts = np.array([len(x) for x in own])
-            flat = np.fromiter(chain.from_iterable(own), np.int32, int(counts.sum()))
+            known |= {w: array("i", ids).tobytes() for w, ids in table.encode_words(list(fresh)).items()}
+            own = [b"".join(map(known.__getitem__, w)) for w in words]
+            counts = np.array([len(x) // 4 for x in own])
+            flat = np.frombuffer(b"".join(own), np.int32)
             stop = np.cumsum(counts)
             spelled = np.concatenate([[0], np.cumsum((flat >= first_byte) & (flat <= last_byte))])
             raw, ends = table.surfaces(flat)
