@@ -58,6 +58,15 @@ def test_licences(spark):
     assert license.scan_licenses(frame.limit(0)).count() == 0
 
 
+def test_every_licence_template_is_a_candidate(spark):
+    rows = [(i, f"some text\n{text}\nmore") for i, (_, _, text) in enumerate(license.TEMPLATES)]
+    rows += [(100, "prose\nAll rights reserved.\nprose"), (101, "small rights reserved"), (102, "prose, all rights\nreserved. prose"), (103, "x\nReleased under the MIT\nLicense.\nx")]
+    got = {r.doc_id: (r.n_blocks, r.licenses) for r in license.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _, _) in enumerate(license.TEMPLATES):
+        assert got[i][0] == 1 and name in got[i][1], (name, got[i])
+    assert got[100] == (1, ["Proprietary"]) and got[101] == (0, []) and got[102][0] == 1 and got[103] == (1, ["MIT"])
+
+
 def test_licence_ranking():
     scan = license.Scanner()
     for name, _, text in license.TEMPLATES:
