@@ -67,6 +67,19 @@ def test_every_licence_template_is_a_candidate(spark):
     assert got[100] == (1, ["Proprietary"]) and got[101] == (0, []) and got[102][0] == 1 and got[103] == (1, ["MIT"])
 
 
+def test_licence_in_a_long_line():
+    import random
+
+    rng, scan = random.Random(5), license.Scanner()
+    for size in (2_000, 5_000, 12_000, 64_000):
+        prose = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(size))
+        for name, _, text in license.TEMPLATES:
+            found = dict(scan.scan(f"{prose} {text} {prose[::-1]}"))
+            assert name in found and found[name] > license.GAIN, (size, name)
+    assert set(dict(scan.scan(prose + " Released under the MIT License. " + prose + " All rights reserved. Copyright " + prose))) == {"MIT", "Proprietary"}
+    assert scan.scan(prose + " a licence, a copyright " + prose) == []
+
+
 def test_licence_ranking():
     scan = license.Scanner()
     for name, _, text in license.TEMPLATES:
