@@ -45,6 +45,7 @@ WEAK = {
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 TRIGGER = {"email": "@", "ip": ".", "phone": "+"}
+CARD = r"[0-9](?:[\x20-]?[0-9]){13}"  # every valid card has it
 GAZETTEER = {
     "email": r"(?i)\.(?:com|org|net|edu|gov|info|biz|int|mil|de|fr|es|uk|it|nl|at|ch|us|ca|eu|io|pl|se|pt|br|mx|ar|jp|cn|in|au|ru)$",
     "ip": r"^(?!0*(?:0|10|127|22[4-9]|2[34][0-9]|25[0-5])\.)(?!0*192\.0*168\.)(?!0*169\.0*254\.)(?!0*172\.0*(?:1[6-9]|2[0-9]|3[01])\.)",
@@ -121,8 +122,10 @@ def candidate(kind: str, x: Column, base: bool) -> Column:
 
 
 def found(text: Column, kind: str, base: bool) -> Column:
-    has_digit = text.rlike("[0-9]{3}")
-    trigger = F.contains(text, F.lit(TRIGGER[kind])) if base and kind in TRIGGER else (has_digit if kind != "email" else text.rlike(r"[\[(]at[\])]"))
+    if base:
+        trigger = F.contains(text, F.lit(TRIGGER[kind])) if kind in TRIGGER else text.rlike(CARD)
+    else:
+        trigger = text.rlike(r"[\[(]at[\])]" if kind == "email" else "[0-9]{3}")
     spans = located(text, (BASE if base else WEAK)[kind], trigger)
     if base and kind != "email":
         spans = F.filter(spans, lambda x: valid(kind, x["t"]))

@@ -168,6 +168,17 @@ def test_personal_data(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_cards_without_three_digits_together(spark):
+    rng = random.Random(6)
+    bits = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1", "41 11 11 11 11 11 11 12", "42", "4", " ", "-", "  ", "x", "é"]
+    texts = bits + ["card 41 11 11 11 11 11 11 11 end"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.personal_data(frame).collect():
+        wanted = [f"{kind}:{s}:{e}" for s, _, e, kind in base_spans(texts[r.doc_id])]
+        assert r.n_card == len(wanted) and r.base_sha256 == hashlib.sha256(",".join(wanted).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in pii.redact(frame).collect()}[len(bits)] == "card <CARD> end"
+
+
 def test_weak_spans_and_redaction(spark):
     rows = [(i, f"Please call 555-123-45{i:02d} or mail joe{i} [at] web [dot] com, tel +1 (383) 555-60{i:02d}", 3) for i in range(30)] + [(99, "nothing here, no 12 of 3.4", 5), (100, None, 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
