@@ -31,7 +31,6 @@ BITS = 15
 CELLS = 1 << 21  # words' bytes x languages handled at once
 ROUNDS = 8
 PENALTY = 6.0
-MOST = 4  # languages of a document's set
 
 # letters: ASCII letters, lower-cased, and all bytes beyond ASCII; the rest separates words
 LETTER = np.zeros(256, np.uint8)
@@ -112,7 +111,7 @@ def mixtures(logs: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> tuple[n
     value = alone[np.arange(n), one]
     cost = PENALTY / 2 * np.log(counts + 1)
     order = np.argsort(-share, axis=1, kind="stable")
-    for k in range(2, min(MOST, languages) + 1):
+    for k in range(2, languages + 1):
         todo = np.flatnonzero(full - (k - 1) * cost > value)  # no set gains more than all languages do
         if not len(todo):
             break

@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def test_held_out_rows_teach_nothing(spark):
     assert {r.lang_pred for r in language.identify(wrong).collect()} == {"xx"}
 
 
+def test_mixture_of_six_languages():
+    # 600 words, 100 of each of the first six of seven languages; a second document of one language
+    logs = np.full((700, 7), -20.0, np.float32)
+    logs[np.arange(600), np.arange(600) % 6] = -2.0
+    logs[600:, 6] = -2.0
+    chosen, _ = language.mixtures(logs, np.array([0, 600]), np.array([600, 100]))
+    assert (chosen[0] > 0).tolist() == [True] * 6 + [False] and np.allclose(chosen[0, :6], 1 / 6, atol=0.01)
+    assert chosen[1].tolist() == [0.0] * 6 + [1.0]
+
+
 def test_licences(spark):
     rows = [
         (1, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY 4.0."),
