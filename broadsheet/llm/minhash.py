@@ -154,10 +154,19 @@ VERIFY = "a long, b long"
 
 
 def verified(similarity: float) -> Callable:
-    """Over (a, salt, b, bin) sorted by a, salt, with the row of a itself (b null) first: the pairs that are similar."""
+    """Over (a, salt, b, bin) sorted by a, salt, with the rows of a itself (b null) first: the pairs of which any texts are similar."""
+
+    def alike(left, e, w) -> bool:
+        if not len(left[0]) or not len(e):
+            return False
+        at = np.searchsorted(left[0], e)
+        at[at == len(left[0])] = 0
+        same = left[0][at] == e
+        both = np.minimum(left[1][at], w)[same].sum()
+        return both >= similarity * (left[2] + w.sum() - both) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, left_a = None, None
+        lefts, left_a, paired = [], None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,15 +180,14 @@ def verified(similarity: float) -> Callable:
                 for x in range(i, j):
                     own = slice(stop[x - i] - sizes[x - i], stop[x - i])
                     if b[x] is None:
-                        left, left_a = (e[own], w[own], w[own].sum()), a[x]
+                        if left_a != a[x] or paired:
+                            lefts, left_a, paired = [], a[x], False
+                        lefts.append((e[own], w[own], w[own].sum()))
                         continue
                     if left_a != a[x]:
                         raise RuntimeError("a row of the pair's first document is missing")
-                    at = np.searchsorted(left[0], e[own])
-                    at[at == len(left[0])] = 0
-                    same = left[0][at] == e[own]
-                    both = np.minimum(left[1][at], w[own])[same].sum()
-                    if both >= similarity * (left[2] + w[own].sum() - both) - 1e-9:
+                    paired = True
+                    if any(alike(left, e[own], w[own]) for left in lefts):
                         pairs.append((a[x], b[x]))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -187,7 +195,7 @@ def verified(similarity: float) -> Callable:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose bags are similar; ``texts``: (node, bin) of all of them.
+    """Those of the distinct ``pairs`` (a, b) whose bags are similar; ``texts``: (node, bin) of all of them, several for ids with several texts.
 
     The pairs of one node are dealt out in groups of about ``GROUP``; its text goes to each group once.
     """
@@ -231,7 +239,7 @@ def linked_blocks(similarity: float) -> Callable:
         both = overlaps(e, w, sizes)
         total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=w, minlength=len(sizes))
         root = np.array(roots)
-        x, y = np.nonzero((both >= similarity * (total[:, None] + total[None, :] - both) - 1e-6) & (root[:, None] < root[None, :]))
+        x, y = np.nonzero((both >= similarity * (total[:, None] + total[None, :] - both) - 1e-6) & (both > 0) & (root[:, None] < root[None, :]))
         found = {(roots[p], roots[q]): (nodes[p], nodes[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
         return [(min(p), max(p)) for p in found.values()]
 
@@ -277,7 +285,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     buckets = stored(banded.join(shared.select("key", "leader"), "key"), "buckets")  # (key, node, leader) of what shares a band
-    texts = stored(some.join(buckets.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("bin").alias("bin")), "texts")
+    texts = stored(some.join(buckets.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bin").distinct(), "texts")
     first = stored(buckets.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stored(verify(first, texts, similarity), "links")
     labels = components(links)

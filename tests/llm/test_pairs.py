@@ -52,6 +52,16 @@ def near_copies(seed, groups=6, size=12):
     return docs
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_classes_of_an_id_with_two_texts(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    one, two = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, one), (1, two), (2, [*one, "x"]), (3, [*two, "y"]), (4, [*one, "z"]), (5, [*two, "v"])]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows] + [(1, ""), (9, "")], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
+
+
 @pytest.mark.parametrize("seed,small,block", [(0, 16, 256), (1, 1, 4)])
 def test_classes(spark, monkeypatch, seed, small, block):
     monkeypatch.setattr(minhash, "SMALL", small)
