@@ -53,8 +53,15 @@ class Spec:
     compare: Callable  # table of whole keys -> (doc, part, start, stop) of windows that occur earlier
 
 
+def fitting(part):
+    """``part``, if its 16 bits hold it."""
+    if np.any(np.asarray(part) >> 16):
+        raise ValueError("more than 65,536 different texts of one doc_id")
+    return part
+
+
 def pack(part, pos, back, span, kind=0):
-    return (np.int64(kind) << 61) | (part << 45) | (pos << 14) | (back << 7) | span
+    return (np.int64(kind) << 61) | (fitting(part) << 45) | (pos << 14) | (back << 7) | span
 
 
 def unpack(packed):
@@ -62,7 +69,7 @@ def unpack(packed):
 
 
 def pack_run(part, stop):
-    return (np.int64(RUN) << 61) | (part << 45) | stop
+    return (np.int64(RUN) << 61) | (fitting(part) << 45) | stop
 
 
 def anchored(symbols: np.ndarray, bounds: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:

@@ -160,3 +160,13 @@ def test_words():
     h = word_hashes(data, starts, ends)
     words = [bytes(data[s:e]) for s, e in zip(starts, ends, strict=True)]
     assert len(set(h.tolist())) == len(set(words)) == len({(w, x) for w, x in zip(words, h.tolist(), strict=True)})
+
+
+def test_more_texts_of_an_id_than_its_field_holds():
+    parts = np.array([0, 65_535], np.int64)
+    assert segments.unpack(segments.pack(parts, 7, 1, 2))[1].tolist() == parts.tolist()
+    for parts in (parts + 1, parts + (1 << 17)):
+        with pytest.raises(ValueError):
+            segments.pack(parts, 7, 1, 2)
+        with pytest.raises(ValueError):
+            segments.pack_run(parts, 7)
