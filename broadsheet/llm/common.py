@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,10 +21,12 @@ _WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="scratch-"))
         atexit.register(shutil.rmtree, _LOCAL_SCRATCH[0], ignore_errors=True)
@@ -127,13 +130,16 @@ def batches_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def whole_keys(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """From batches sorted by ``key``: tables of about ``rows`` rows that never split a key."""
+def whole_keys(batches: Iterable[pa.RecordBatch], key: str, rows: int, *more: str) -> Iterator[pa.Table]:
+    """From batches sorted by ``key`` (and ``more`` columns): tables of about ``rows`` rows that never split a key."""
     held: pa.Table | None = None
     for t in batches_of(batches, rows):
         t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        k = t[key].to_numpy()
-        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        other = np.zeros(t.num_rows, bool)  # rows of another key than the last one's
+        for c in (key, *more):
+            k = t[c].to_numpy()
+            other |= k != k[-1]
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
         held = t.slice(cut).combine_chunks()
         if cut:
             yield t.slice(0, cut).combine_chunks()

@@ -6,16 +6,19 @@ on the window's symbols alone, so equal windows have equal anchors at equal offs
 occurrence form a *segment* of at most 2L - q symbols; only a key and a fingerprint of each segment are shuffled:
 
 1. ``announce``: each task emits its segments' (anchor key, fingerprint, document, place); segments equal to an earlier
-   one of the same task are settled on the spot (``UNIT`` segments at a time), so that a passage of very many documents
-   makes a row per task and distinct segment, not per document.
-2. ``settle``: with a key's rows together, copies of an equal earlier segment are settled; segments of a key that has
-   several different ones must be compared symbol by symbol and are asked for.  Where a key has more than ``HOT``
-   different segments, each window of them gets a key of its own instead, so that no group grows with the corpus.
+   one of the same task, symbol by symbol, are settled on the spot (``UNIT`` segments at a time), so that a passage of
+   very many documents makes a row per task and distinct segment, not per document.
+2. ``settle``: with a key's rows together, segments that share their key are asked for.  (With ``trusting``, copies are
+   settled by their fingerprints here, and only keys of several different segments are asked for.)  Where a key has more
+   than ``HOT`` different segments, each window of them gets a key of its own instead; where it has more rows than that,
+   they are dealt out by a salt.  A key of more than ``MOST`` rows passes through without being held.
 3. ``fetch``: the asked-for segments are cut out of the texts.
-4. the operator's own comparison (bucket-pointer refinement, suffix automata) judges the windows of each key.
+4. ``judge``: of segments with equal symbols the earliest stands for all, and the others are settled; the operator's own
+   comparison (bucket-pointer refinement, suffix automata) judges the windows of those that are left under a key.  Salted
+   keys are judged twice: each salt on its own, which leaves one of equal segments, and then what is left.
 5. ``runs``: all settled windows, merged to runs of removed symbols per document, meet the texts again.
 
-Work and shuffle are linear in the corpus; no step holds more than a bounded chunk, one text, or the rows of one key.
+Work and shuffle are linear in the corpus; no step holds more than a bounded chunk, one text, or about ``MOST`` rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,11 @@ from .common import LEVEL_ODD, batches_of, binary_rows, bounded_batches, doubled
 
 CHUNK = 1 << 19  # symbols or bytes handled at once
 INDEX_BITS = 22
-UNIT = 1_000_000  # segments settled within a task at once
-HOT = 4096  # different segments of one key beyond which its windows are dealt out one by one
+UNIT = 500_000  # segments settled within a task at once
+HELD = 32 << 20  # bytes of text after which they are settled, too
+HOT = 4096  # different segments of one key beyond which its windows are dealt out one by one, and rows beyond which they are salted
+JUDGED = 4_000  # segments compared at once, if a key has no more
+MOST = 1_000_000  # rows of one key that are held at once
 
 RUN, ASK, HOT_ASK = 1, 0, 2
 ANNOUNCED = "k long, seg long, doc_id long, packed long"
@@ -51,6 +58,8 @@ class Spec:
     symbolise: Callable  # (data, offsets) -> (symbol hashes, offsets, first byte of each symbol, end byte of each symbol)
     by_document: bool  # earlier: in a smaller document only; else also earlier in the same document
     compare: Callable  # table of whole keys -> (doc, part, start, stop) of windows that occur earlier
+    plain: Callable = lambda segs: segs  # binary column of segments -> equal ones for equal symbols
+    trusting: bool = False  # equal keys and fingerprints of segments in different tasks count as equal symbols
 
 
 def fitting(part):
@@ -123,17 +132,42 @@ def merged(doc, part, start, stop) -> tuple[np.ndarray, ...]:
     return doc[heads], part[heads], start[heads], (far - base)[tails]
 
 
-def copies(k, seg, doc, packed, by_document: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (key, fingerprint, document, place) and, in that order, which rows repeat an earlier equal segment."""
+def copies(k, seg, doc, packed, by_document: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by (key, fingerprint, document, place); in that order, which rows repeat an earlier segment, and where it is."""
     order = np.lexsort((packed, doc, seg, k))
     k, seg, doc = k[order], seg[order], doc[order]
     head = np.ones(len(k), bool)
     head[1:] = (k[1:] != k[:-1]) | (seg[1:] != seg[:-1])
     first = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
     if by_document:
-        return order, doc > doc[first]
+        return order, doc > doc[first], first
     place = packed[order]  # a row that is there twice doesn't repeat itself
-    return order, (doc != doc[first]) | (place != place[first])
+    return order, (doc != doc[first]) | (place != place[first]), first
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + length] equals data[b:b + length], for each of the places; lengths are at least 8."""
+    if not len(a):
+        return np.zeros(0, bool)
+    words = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), strides=(1,))  # the 8 bytes from each place on
+    out = np.ones(len(a), bool)
+    for at in range(0, int(length.max()), 8):
+        rows = np.flatnonzero(out & (length > at))
+        here = np.minimum(at, length[rows] - 8)
+        out[rows] = words[a[rows] + here] == words[b[rows] + here]
+    return out
+
+
+def same_symbols(spec: Spec, data: np.ndarray, a: np.ndarray, a_stop: np.ndarray, b: np.ndarray, b_stop: np.ndarray) -> np.ndarray:
+    """Whether two places of the text hold equal symbols: equal bytes, or what ``spec.plain`` makes equal of them."""
+    out = np.zeros(len(a), bool)
+    level = np.flatnonzero((a_stop - a == b_stop - b) & (a_stop - a >= 8))
+    out[level] = same_bytes(data, a[level], b[level], (a_stop - a)[level])
+    rest = np.flatnonzero(~out)
+    if len(rest):
+        left, right = (spec.plain(cut_out(data, x[rest], y[rest])) for x, y in ((a, a_stop), (b, b_stop)))
+        out[rest] = pc.equal(left, right).to_numpy(zero_copy_only=False)
+    return out
 
 
 def run_rows(doc, packed, length: int) -> tuple[np.ndarray, ...]:
@@ -153,11 +187,16 @@ def doc_groups(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def announce(spec: Spec) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = 0
+        texts: list[np.ndarray] = []
+        n = size = 0
 
         def flush():
-            k, seg, doc, packed = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, again = copies(k, seg, doc, packed, spec.by_document)
+            k, seg, doc, packed, begin, end = (np.concatenate(x) for x in zip(*held, strict=True))
+            data = np.concatenate(texts)
+            order, again, first = copies(k, seg, doc, packed, spec.by_document)
+            where = np.flatnonzero(again)
+            one, other = order[where], order[first[where]]
+            again[where] = same_symbols(spec, data, begin[one], end[one], begin[other], end[other])
             d, part, start, stop = run_rows(doc[order[again]], packed[order[again]], spec.length)
             keep = order[~again]
             yield pa.RecordBatch.from_arrays(
@@ -171,17 +210,23 @@ def announce(spec: Spec) -> Callable:
             data, offsets = binary_rows(batch["bin"])
             ids, parts = batch["doc_id"].to_numpy(), batch["part"].to_numpy()
             for i, j in doc_groups(offsets, CHUNK):
-                symbols, bounds, _, _ = spec.symbolise(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sub = data[offsets[i] : offsets[j]]
+                symbols, bounds, begins, ends = spec.symbolise(sub, offsets[i : j + 1] - offsets[i])
                 for a, b, cut in pieces(bounds, spec.length):
                     at, lo, hi, k, seg = anchored(symbols[a:b], cut - a, spec)
                     at, lo, hi = at + a, lo + a, hi + a
                     which = np.searchsorted(bounds, lo, "right") - 1
-                    held.append((k.view(np.int64), seg.view(np.int64), ids[i + which], pack(parts[i + which], at - bounds[which], at - lo, hi - lo)))
+                    place = pack(parts[i + which], at - bounds[which], at - lo, hi - lo)
+                    held.append((k.view(np.int64), seg.view(np.int64), ids[i + which], place, size + begins[lo], size + ends[hi + spec.length - 1]))
                     n += len(at)
-            if n >= UNIT:
-                yield from flush()
-                held.clear()
-                n = 0
+                texts.append(sub)
+                size += len(sub)
+                if n >= UNIT or size >= HELD:
+                    if n:
+                        yield from flush()
+                    held.clear()
+                    texts.clear()
+                    n = size = 0
         if n:
             yield from flush()
 
@@ -199,26 +244,70 @@ def pieces(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarr
             yield s, e, np.array([s, e])
 
 
+def bounded_keys(batches: Iterator[pa.RecordBatch], key: str, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """As ``whole_keys``, but a key of more than about ``most`` rows comes in several tables of its own, marked as such."""
+    held, open_key = None, None  # the last key so far; a key that has come in parts already
+    for t in batches_of(batches, rows):
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        held = None
+        k = t[key].to_numpy()
+        if open_key is not None:
+            own = int(np.searchsorted(k != open_key, True))
+            if own:
+                yield t.slice(0, own).combine_chunks(), True
+                t, k = t.slice(own), k[own:]
+            if not len(k):
+                continue
+            open_key = None
+        cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+        if cut:
+            yield t.slice(0, cut).combine_chunks(), False
+        if len(k) - cut > most:
+            open_key = k[-1]
+            yield t.slice(cut).combine_chunks(), True
+        else:
+            held = t.slice(cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held, False
+
+
+def salted(doc: np.ndarray, groups: np.ndarray | int) -> np.ndarray:
+    """A salt from 1 to ``groups``, by document."""
+    return 1 + (mix64(doc.astype(np.uint64) ^ LEVEL_ODD[49]) % np.asarray(groups, np.uint64)).astype(np.int64)
+
+
 def settle(spec: Spec) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_keys(batches, "k", 400_000):
+        for t, part_of_key in bounded_keys(batches, "k", 400_000, MOST):
             k, seg, doc, packed = (t[c].to_numpy() for c in ("k", "seg", "doc_id", "packed"))
             done = packed >> 61 == RUN
             d0, p0, s0 = doc[done], packed[done], seg[done]
             k, seg, doc, packed = (x[~done] for x in (k, seg, doc, packed))
-            order, again = copies(k, seg, doc, packed, spec.by_document)
-            k, seg, doc, packed = (x[order] for x in (k, seg, doc, packed))
-            d, part, start, stop = run_rows(doc[again], packed[again], spec.length)
-            k, seg, doc, packed = (x[~again] for x in (k, seg, doc, packed))
-            if len(k):
+            d, part, start, stop = (np.zeros(0, np.int64),) * 4
+            if spec.trusting:
+                order, again, _ = copies(k, seg, doc, packed, spec.by_document)
+                k, seg, doc, packed = (x[order] for x in (k, seg, doc, packed))
+                d, part, start, stop = run_rows(doc[again], packed[again], spec.length)
+                k, seg, doc, packed = (x[~again] for x in (k, seg, doc, packed))
+            elif len(k):
+                order = np.lexsort((seg, k))
+                k, seg, doc, packed = (x[order] for x in (k, seg, doc, packed))
+            aux = np.zeros(len(k), np.int64)
+            if part_of_key and len(k):
+                packed, aux = packed | (np.int64(HOT_ASK) << 61), salted(doc, HOT)
+            elif len(k):
                 key_head = np.r_[True, k[1:] != k[:-1]]
                 seg_head = key_head | np.r_[True, seg[1:] != seg[:-1]]
                 key = np.cumsum(key_head) - 1
-                kinds = np.bincount(key, weights=seg_head).astype(np.int64)[key]
-                ask = kinds > 1
-                k, doc, packed, kinds = k[ask], doc[ask], packed[ask], kinds[ask]
-                packed = packed | np.where(kinds > HOT, np.int64(HOT_ASK) << 61, 0)
-            columns = ((np.zeros(len(d0) + len(d), np.int64), k), (d0, d, doc), (p0, pack_run(part, stop), packed), (s0, start, np.zeros(len(k), np.int64)))
+                rows = np.bincount(key)
+                kinds = np.bincount(key, weights=seg_head).astype(np.int64)
+                heads = np.flatnonzero(key_head)
+                several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads) if spec.by_document else rows > 1
+                ask = (several & ((kinds > 1) | (not spec.trusting)))[key]
+                k, doc, packed, key = k[ask], doc[ask], packed[ask], key[ask]
+                packed = packed | np.where(kinds[key] > HOT, np.int64(HOT_ASK) << 61, 0)
+                aux = np.where(rows[key] > HOT, salted(doc, -(-rows[key] // HOT)), 0)
+            columns = ((np.zeros(len(d0) + len(d), np.int64), k), (d0, d, doc), (p0, pack_run(part, stop), packed), (s0, start, aux))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["k", "doc_id", "packed", "aux"])
 
     return tidy(run)
@@ -244,36 +333,39 @@ def fetch(spec: Spec) -> Callable:
             asks = batch["asks"]
             counts = np.diff(asks.offsets.to_numpy())
             flat = asks.flatten()
-            ks, packs = flat.field("k").to_numpy(), flat.field("packed").to_numpy()
+            ks, packs, salts = (flat.field(c).to_numpy() for c in ("k", "packed", "aux"))
             first = np.concatenate([[0], np.cumsum(counts)])
             for i, j in doc_groups(offsets, CHUNK):
                 sub = data[offsets[i] : offsets[j]]
                 symbols, bounds, begins, ends = spec.symbolise(sub, offsets[i : j + 1] - offsets[i])
                 rows = slice(first[i], first[j])
-                k, packed = ks[rows], packs[rows]
+                k, packed, salt = ks[rows], packs[rows], salts[rows]
                 base = np.repeat(bounds[:-1], counts[i:j])
                 doc = np.repeat(ids[i:j], counts[i:j])
                 kind, part, pos, back, span = unpack(packed)
                 lo, stop = pos - back, pos - back + span + spec.length
                 plain = kind == ASK
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[plain]), pa.array(doc[plain]), pa.array(packed[plain]), pa.array(lo[plain]), cut_out(sub, begins[(base + lo)[plain]], ends[(base + stop)[plain] - 1])],
+                    [pa.array(k[plain]), pa.array(doc[plain]), pa.array(packed[plain]), pa.array(salt[plain]), cut_out(sub, begins[(base + lo)[plain]], ends[(base + stop)[plain] - 1])],
                     names=["k", "doc_id", "packed", "aux", "seg"],
                 )
                 if plain.all():
                     continue
                 many = span[~plain] + 1
                 lo = np.repeat(lo[~plain], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                base, doc, part = (np.repeat(x[~plain], many) for x in (base, doc, part))
+                base, doc, part, salt = (np.repeat(x[~plain], many) for x in (base, doc, part, salt))
                 wholes = doubled(symbols, (1 << (spec.length.bit_length() - 1),))[1 << (spec.length.bit_length() - 1)]
                 tail = base + lo + spec.length - (1 << (spec.length.bit_length() - 1))
                 own = mix64(wholes[base + lo] * LEVEL_ODD[45] + wholes[tail] * LEVEL_ODD[46]).view(np.int64)
-                check = mix64(wholes[base + lo] * LEVEL_ODD[47] + wholes[tail] * LEVEL_ODD[48]).view(np.int64)
+                begin, end = begins[base + lo], ends[base + lo + spec.length - 1]
                 packed = pack(part, lo, 0, 0)
-                order, again = copies(own, check, doc, packed, spec.by_document)
+                order, again, one = copies(own, own, doc, packed, spec.by_document)
+                where = np.flatnonzero(again)
+                x, y = order[where], order[one[where]]
+                again[where] = same_symbols(spec, sub, begin[x], end[x], begin[y], end[y])
                 keep = order[~again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own[keep]), pa.array(doc[keep]), pa.array(packed[keep]), pa.array(lo[keep]), cut_out(sub, begins[(base + lo)[keep]], ends[(base + lo)[keep] + spec.length - 1])],
+                    [pa.array(own[keep]), pa.array(doc[keep]), pa.array(packed[keep]), pa.array(salt[keep]), cut_out(sub, begin[keep], end[keep])],
                     names=["k", "doc_id", "packed", "aux", "seg"],
                 )
                 d, p, s, e = run_rows(doc[order[again]], packed[order[again]], spec.length)
@@ -283,16 +375,39 @@ def fetch(spec: Spec) -> Callable:
     return tidy(run)
 
 
-def judge(spec: Spec) -> Callable:
+def judge(spec: Spec, last: bool = True) -> Callable:
+    """Runs of removed symbols, from rows sorted by k and, unless it is the ``last`` time, aux.
+
+    The first time, salted rows come as the first of those with equal symbols under a key and a salt, and runs in the
+    form of the other rows.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_keys(batches, "k", 10_000):
+        for t in whole_keys(batches, "k", JUDGED, *(() if last else ("aux",))):
             doc, packed, aux = (t[c].to_numpy() for c in ("doc_id", "packed", "aux"))
             done = packed >> 61 == RUN
             found = [(doc[done], (packed[done] >> 45) & 0xFFFF, aux[done], packed[done] & ((1 << 45) - 1))]
-            if not done.all():
-                found.append(spec.compare(t.filter(pa.array(~done)).combine_chunks()))
-            out = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "part", "start", "stop"])
+            t = t.filter(pa.array(~done)).combine_chunks()
+            if t.num_rows:
+                k, doc, packed, salt = (t[c].to_numpy() for c in ("k", "doc_id", "packed", "aux"))
+                group = k if last else mix64(k.view(np.uint64) + salt.astype(np.uint64) * LEVEL_ODD[48]).view(np.int64)
+                symbols = pc.dictionary_encode(spec.plain(t["seg"].combine_chunks())).indices.to_numpy().astype(np.int64)
+                order, again, _ = copies(group, symbols, doc, packed, spec.by_document)
+                found.append(run_rows(doc[order[again]], packed[order[again]], spec.length))
+                rest = order[~again]
+                if not last:
+                    dealt = salt[rest] > 0
+                    yield from t.take(pa.array(rest[dealt])).combine_chunks().to_batches()
+                    rest = rest[~dealt]
+                kinds = np.unique(np.stack([group[rest], symbols[rest]]), axis=1)[0] if len(rest) else group[:0]
+                several = np.isin(group[rest], kinds[:-1][kinds[1:] == kinds[:-1]])
+                if several.any():
+                    found.append(spec.compare(t.take(pa.array(rest[several])).combine_chunks()))
+            doc, part, start, stop = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, part, start, stop)], names=["doc_id", "part", "start", "stop"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(doc), np.int64)), pa.array(doc), pa.array(pack_run(part, stop)), pa.array(start), pa.nulls(len(doc), pa.binary())], names=["k", "doc_id", "packed", "aux", "seg"])
 
     return tidy(run)
 
@@ -303,11 +418,12 @@ def removed_runs(texts: DataFrame, spec: Spec) -> DataFrame:
     announced = texts.mapInArrow(announce(spec), ANNOUNCED)
     known = stored(announced.repartition("k").sortWithinPartitions("k").mapInArrow(settle(spec), SETTLED), "segments")
     kind = F.shiftright("packed", 61)
-    asks = known.where(kind != RUN).groupBy("doc_id", part_of("packed").alias("part")).agg(F.collect_list(F.struct("k", "packed")).alias("asks"))
+    asks = known.where(kind != RUN).groupBy("doc_id", part_of("packed").alias("part")).agg(F.collect_list(F.struct("k", "packed", "aux")).alias("asks"))
     cut = texts.join(asks.hint("shuffle_hash"), ["doc_id", "part"]).mapInArrow(fetch(spec), FETCHED)
-    compared = cut.repartition("k").sortWithinPartitions("k").mapInArrow(judge(spec), RUNS)
-    early = known.where(kind == RUN).select("doc_id", part_of("packed").alias("part"), F.col("aux").alias("start"), F.expr(f"packed & {(1 << 45) - 1}").alias("stop"))
-    return early.unionByName(compared)
+    judged = stored(cut.repartition("k", "aux").sortWithinPartitions("k", "aux").mapInArrow(judge(spec, False), FETCHED), "judged")
+    left = judged.where(kind != RUN).repartition("k").sortWithinPartitions("k").mapInArrow(judge(spec), RUNS)
+    early = known.select("doc_id", "packed", "aux").unionByName(judged.select("doc_id", "packed", "aux")).where(kind == RUN)
+    return early.select("doc_id", part_of("packed").alias("part"), F.col("aux").alias("start"), F.expr(f"packed & {(1 << 45) - 1}").alias("stop")).unionByName(left)
 
 
 def part_of(column: str):

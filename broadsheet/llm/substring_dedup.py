@@ -129,7 +129,12 @@ def repeated_windows(t: pa.Table):
     return out[:, 0], out[:, 1], out[:, 2], out[:, 3]
 
 
-SPEC = Spec(LENGTH, GRAM, words_as_symbols, True, repeated_windows)
+def words_only(segs: pa.Array) -> pa.Array:
+    """The words of each segment joined by single blanks."""
+    return pa.array([b" ".join(x.split()) for x in segs.to_pylist()], pa.binary())
+
+
+SPEC = Spec(LENGTH, GRAM, words_as_symbols, True, repeated_windows, words_only, True)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 

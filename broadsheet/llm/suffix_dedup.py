@@ -3,10 +3,14 @@
 A byte goes if a string of ``length`` bytes that covers it also starts earlier (in a smaller doc_id, or earlier in the
 same document); strings are judged on the input, overlaps count, matches never cross documents.
 
-The suffixes that can share ``length`` bytes meet in one place (see ``segments``).  There, suffixes are put in buckets
-by their first 8 bytes; each pass then sorts the suffixes of buckets of more than one by the pair (own bucket, bucket of
-the suffix ``depth`` bytes later), reusing the buckets that the pass before has refined, so that the depth doubles until
-it reaches ``length``.  Suffixes that end in one bucket agree in ``length`` bytes; all but the first are repeats.
+The suffixes that can share ``length`` bytes meet in one place (see ``segments``); of segments that are equal byte for
+byte only one is sorted there, and the others share its buckets.  Suffixes are put in buckets by their first 8 bytes,
+numbered in their order.  A bucket of suffixes that agree in d bytes is refined by sorting them by the bucket of the
+suffix d bytes later, and then agrees in as many bytes more as that bucket does.  Buckets are refined in groups, those
+that windows reach least far behind first, and each group takes over its new numbers at once: later groups of the same
+pass sort by what earlier ones have refined, so the depth more than doubles from pass to pass.  A bucket is done when it
+has one member or windows reach no further; neighbours in the order of the buckets that still agree in ``length`` bytes
+are one class, and all of a class but the first are repeats.
 
 Defined cases: a null or empty text is an empty document; texts shorter than ``length`` stay whole; a row without id
 stays whole and takes no part; rows that repeat id and text all get the result of one; different texts of one id come
@@ -28,6 +32,7 @@ from .segments import Spec, removed_runs, runs_of, unpack, with_runs
 
 LENGTH = 100
 GRAM = 32
+GROUPS = 3  # groups of buckets in a pass
 
 
 def bytes_as_symbols(data: np.ndarray, offsets: np.ndarray):
@@ -35,51 +40,77 @@ def bytes_as_symbols(data: np.ndarray, offsets: np.ndarray):
     return BYTE_HASH[data], offsets, places[:-1], places[1:]
 
 
+def first_bytes(data: np.ndarray) -> np.ndarray:
+    """At each place its 8 bytes as a number that sorts like them; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
 def refined_buckets(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of each of ``starts``: equal for two of them just if the ``length`` bytes from there are equal.
+    """Class of each of ``starts``: equal for two of them just if the ``length`` bytes from there are equal.
 
-    Buckets are numbered in the sort order of the bytes; data[start:start + length] must lie within ``data``.
+    Classes are numbered in the sort order of the bytes; data[start:start + length] must lie within ``data``.
     """
     n = len(data)
-    first = min(8, length)
-    packed = np.zeros(n, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for i in range(first):
-        packed |= padded[i : i + n].astype(np.uint64) << np.uint64(8 * (7 - i))
-    needed = np.zeros(n + 1, np.int64)  # only suffixes that a window reaches are in buckets
-    np.add.at(needed, starts, 1)
-    np.add.at(needed, starts + (length - first + 1), -1)
-    live = np.flatnonzero(np.cumsum(needed[:n]) > 0)
-    bucket = np.zeros(n, np.int64)
-    _, bucket[live] = np.unique(packed[live], return_inverse=True)
-    depth = first
-    while depth < length:
-        step = min(depth, length - depth)
-        needed[:] = 0
-        np.add.at(needed, starts, 1)
-        np.add.at(needed, starts + (length - depth - step + 1), -1)
-        live = np.flatnonzero(np.cumsum(needed[:n]) > 0)
-        own = bucket[live]
-        size = np.bincount(own)
-        fresh = np.zeros(n, np.int64)
-        head = np.cumsum(size) - size  # where the bucket begins in sorted order: the refined numbers keep that order
-        fresh[live] = head[own]
-        many = size[own] > 1
-        pos, own = live[many], own[many]
-        if len(pos):
-            later = bucket[pos + step]
-            order = np.lexsort((later, own))
-            o, l = own[order], later[order]
-            new = np.ones(len(o), bool)
-            new[1:] = (o[1:] != o[:-1]) | (l[1:] != l[:-1])
-            outer = np.ones(len(o), bool)
-            outer[1:] = o[1:] != o[:-1]
-            place = np.arange(len(o))
-            within = place - np.maximum.accumulate(np.where(outer, place, 0))
-            fresh[pos[order]] = head[o] + np.maximum.accumulate(np.where(new, place, 0)) - (place - within)
-        bucket = fresh
-        depth += step
-    return bucket[starts]
+    words = first_bytes(data)
+    place = np.arange(n, dtype=np.int32)
+    need = np.zeros(n, np.int32)
+    need[starts] = starts + length
+    need = np.maximum.accumulate(need) - place  # how many bytes from each place the windows reach
+    order = np.argsort(words)
+    head = np.ones(n, bool)
+    head[1:] = words[order[1:]] != words[order[:-1]]
+    bucket = np.full(n + 1, -1, np.int32)  # the place of the bucket's first member in sorted order; -1 behind the end
+    bucket[order] = np.maximum.accumulate(np.where(head, place, 0))
+    depth = np.full(n, 8, np.int32)  # bytes in which the members of a place's bucket agree
+    todo = np.flatnonzero(need > 8)
+    todo = order[np.isin(bucket[order], bucket[todo])]
+    sizes = np.bincount(bucket[:n])
+    todo = todo[sizes[bucket[todo]] > 1].astype(np.int32)
+    while len(todo):
+        own = bucket[todo]
+        heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        far = np.maximum.reduceat(need[todo], heads)
+        group = np.where(far > depth[todo[heads]], (far - 1) * GROUPS // length, -1)
+        group = np.repeat(group, np.diff(np.append(heads, len(todo))))
+        kept = []
+        for g in range(GROUPS):
+            pos = todo[group == g]
+            if not len(pos):
+                continue
+            own, agree = bucket[pos], depth[pos]
+            later = np.minimum(pos + agree, n)
+            pointer = bucket[later]
+            place = np.argsort(own * np.int64(n + 1) + pointer + 1)
+            pos, own, agree, pointer = pos[place], own[place], agree[place], pointer[place]
+            first = np.r_[True, own[1:] != own[:-1]]
+            new = first | np.r_[True, pointer[1:] != pointer[:-1]]
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(pos)))
+            at = np.arange(len(pos), dtype=np.int32)
+            fresh = (own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))).astype(np.int32)
+            # the depth of the bucket that a pointer names, read once for each new bucket
+            then = np.minimum(pos[heads] + agree[heads], n - 1)
+            grown = np.repeat(agree[heads] + np.where(pointer[heads] >= 0, depth[then], length), size)
+            alone = np.repeat(size == 1, size)
+            bucket[pos], depth[pos] = fresh, grown
+            pos = pos[~alone]
+            kept.append(pos)
+        todo = np.concatenate(kept) if kept else todo[:0]
+        todo = todo[np.argsort(bucket[todo])]
+    # buckets may tell suffixes apart by what follows the window
+    order = np.argsort(bucket[starts], kind="stable")
+    at = starts[order]
+    fresh = np.r_[True, bucket[at[1:]] != bucket[at[:-1]]] if len(at) else np.zeros(0, bool)
+    same = np.flatnonzero(fresh[1:]) + 1
+    for step in range(0, length, 8):
+        here = min(step, max(0, length - 8))
+        x, y = words[at[same] + here], words[at[same - 1] + here]
+        same = same[x == y] if length >= 8 else same[x >> np.uint64(64 - 8 * length) == y >> np.uint64(64 - 8 * length)]
+    fresh[same] = False
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
 
 
 def repeated_windows(t: pa.Table):
@@ -94,9 +125,11 @@ def repeated_windows(t: pa.Table):
     at = np.repeat(pos - back, many) + shift
     doc, part = np.repeat(doc, many), np.repeat(part, many)
     bucket = refined_buckets(data, starts, LENGTH)
+    shared = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    bucket, doc, part, at = (x[shared] for x in (bucket, doc, part, at))
     order = np.lexsort((at, part, doc, bucket))
     bucket, doc, part, at = (x[order] for x in (bucket, doc, part, at))
-    head = np.r_[True, bucket[1:] != bucket[:-1]]
+    head = np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]
     first = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
     again = (doc != doc[first]) | (part != part[first]) | (at != at[first])
     doc, part, at = doc[again], part[again], at[again]

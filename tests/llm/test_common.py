@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from broadsheet.llm import common
 
 
@@ -23,6 +25,18 @@ def test_configured_scratch_folder(spark, monkeypatch, tmp_path):
     assert common.scratch_root(Session()) == f"file://{tmp_path}/shared"
 
 
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        def __init__(self, master):
+            self.conf = {"spark.master": master}
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_root(Session(master))
+    for master in ("local", "local[4]", "local[*]"):
+        assert common.scratch_root(Session(master)).startswith("file:///")
+
+
 def test_whole_keys():
     import pyarrow as pa
 
@@ -33,6 +47,9 @@ def test_whole_keys():
             assert [x for t in tables for x in t["k"].to_pylist()] == rows["k"].to_pylist()
             groups = [set(t["k"].to_pylist()) for t in tables]
             assert all(not a & b for i, a in enumerate(groups) for b in groups[:i])
+    rows = pa.RecordBatch.from_pydict({"k": [1, 1, 1, 2, 2], "s": [0, 0, 1, 1, 1]})
+    tables = list(common.whole_keys((rows.slice(i, 1) for i in range(5)), "k", 1, "s"))
+    assert [t["k"].to_pylist() for t in tables] == [[1, 1], [1], [2, 2]]
 
 
 def test_batches_are_bounded(spark):

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from broadsheet.llm import segments, suffix_dedup, substring_dedup
+from broadsheet.llm import common, segments, suffix_dedup, substring_dedup
 from broadsheet.llm.common import word_bounds, word_hashes
 
 DOCS = "doc_id long, text string"
@@ -74,7 +74,7 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk, hot, unit):
 
 
 def run_local(spec, docs, settings):
-    """The steps in this process, so that settings hold: announce, settle, fetch and judge as one task each."""
+    """The steps in this process, so that settings hold: announce, settle, fetch and both times judge as one task each."""
     import pyarrow as pa
 
     ids = sorted(docs)
@@ -84,16 +84,23 @@ def run_local(spec, docs, settings):
     settled = pa.Table.from_batches(list(segments.settle(spec)(iter(rows.to_batches(max_chunksize=7)))))
     kind = np.array(settled["packed"]) >> 61
     asks = {}
-    for k, d, p in zip(*(np.array(settled[c])[kind != 1].tolist() for c in ("k", "doc_id", "packed")), strict=True):
-        asks.setdefault(d, []).append({"k": k, "packed": p})
+    for k, d, p, a in zip(*(np.array(settled[c])[kind != 1].tolist() for c in ("k", "doc_id", "packed", "aux")), strict=True):
+        asks.setdefault(d, []).append({"k": k, "packed": p, "aux": a})
     runs = [tuple(np.array(settled[c])[kind == 1] for c in ("doc_id", "aux", "packed"))]
     removed = {i: set() for i in ids}
     for d, s, p in zip(*runs[0], strict=True):
         removed[d].update(range(s, p & ((1 << 45) - 1)))
     if asks:
         need = pa.RecordBatch.from_pydict({"doc_id": list(asks), "part": [0] * len(asks), "bin": [docs[i] for i in asks], "asks": list(asks.values())})
-        cut = pa.Table.from_batches(list(segments.fetch(spec)(iter([need])))).sort_by("k")
-        for b in segments.judge(spec)(iter(cut.to_batches(max_chunksize=5))):
+        cut = pa.Table.from_batches(list(segments.fetch(spec)(iter([need])))).sort_by([("k", "ascending"), ("aux", "ascending")])
+        judged = pa.Table.from_batches(list(segments.judge(spec, False)(iter(cut.to_batches(max_chunksize=5)))))
+        settings.append(judged.num_rows)
+        kind = np.array(judged["packed"]) >> 61
+        for d, s, p in zip(*(np.array(judged[c])[kind == 1].tolist() for c in ("doc_id", "aux", "packed")), strict=True):
+            removed[d].update(range(s, p & ((1 << 45) - 1)))
+        left = judged.filter(pa.array(kind != 1)).sort_by("k")
+        settings.append(left.num_rows)
+        for b in segments.judge(spec)(iter(left.to_batches(max_chunksize=5))):
             for d, s, e in zip(*(b[c].to_pylist() for c in ("doc_id", "start", "stop")), strict=True):
                 removed[d].update(range(s, e))
     return {i: len(r) for i, r in removed.items()}
@@ -105,8 +112,53 @@ def test_steps_with_small_bounds(monkeypatch, chunk, hot, unit):
         monkeypatch.setattr(segments, name, value)
     docs = corpus(9)
     encoded = {k: v.encode() for k, v in docs.items()}
-    assert run_local(suffix_dedup.SPEC, encoded, None) == {k: v[1] for k, v in brute_bytes(encoded).items()}
-    assert run_local(substring_dedup.SPEC, encoded, None) == {k: v[1] for k, v in brute_words(docs).items()}
+    sizes = []
+    assert run_local(suffix_dedup.SPEC, encoded, sizes) == {k: v[1] for k, v in brute_bytes(encoded).items()}
+    assert run_local(substring_dedup.SPEC, encoded, sizes) == {k: v[1] for k, v in brute_words(docs).items()}
+    assert sizes[0] > 0 and (sizes[1] > 0) == (hot == 1)  # only salted rows are judged twice
+
+
+@pytest.mark.parametrize("most", [2, 50])
+def test_keys_of_more_rows_than_are_held(monkeypatch, most):
+    monkeypatch.setattr(segments, "MOST", most)
+    monkeypatch.setattr(segments, "batches_of", lambda batches, rows: common.batches_of(batches, 7))
+    docs = corpus(11)
+    encoded = {k: v.encode() for k, v in docs.items()}
+    assert run_local(suffix_dedup.SPEC, encoded, []) == {k: v[1] for k, v in brute_bytes(encoded).items()}
+    assert run_local(substring_dedup.SPEC, encoded, []) == {k: v[1] for k, v in brute_words(docs).items()}
+
+
+def test_equal_fingerprints_of_other_bytes_settle_nothing(monkeypatch):
+    # every key and fingerprint the same: whatever is removed is removed because of its bytes
+    honest = segments.anchored
+
+    def blind(*args):
+        at, lo, hi, k, seg = honest(*args)
+        return at, lo, hi, np.zeros_like(k), np.zeros_like(seg)
+
+    monkeypatch.setattr(segments, "anchored", blind)
+    docs = {k: v.encode() for k, v in corpus(12, 12).items() if len(v) < 600}
+    assert run_local(suffix_dedup.SPEC, docs, []) == {k: v[1] for k, v in brute_bytes(docs).items()}
+
+
+def test_bounded_keys():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"k": [1, 1, 2, 2, 2, 2, 2, 3, 4, 4], "n": list(range(10))})
+    for size in (1, 2, 3, 100):
+        for most in (1, 2, 4, 100):
+            tables = list(segments.bounded_keys((rows.slice(i, 1) for i in range(10)), "k", size, most))
+            assert [x for t, _ in tables for x in t["n"].to_pylist()] == list(range(10))
+            whole = [set(t["k"].to_pylist()) for t, part in tables if not part]
+            parts = [set(t["k"].to_pylist()) for t, part in tables if part]
+            assert all(len(p) == 1 for p in parts) and not set().union(*whole) & set().union(*parts)
+            assert sum(map(len, whole)) == len(set().union(*whole))
+
+
+def test_same_bytes():
+    data = np.frombuffer(b"abcdefgh_abcdefgh_abcdefgx0123456789" * 2, np.uint8)
+    a, b, n = np.array([0, 0, 0, 0, 10]), np.array([9, 18, 36, 36, 19]), np.array([8, 8, 36, 30, 9])
+    assert segments.same_bytes(data, a, b, n).tolist() == [True, False, True, True, False]
 
 
 def test_defined_cases(spark):
