@@ -11,7 +11,8 @@ HTTP header still tells the length of the full payload and its record header the
 Defined cases: a null payload is empty; a null URL is written as an empty target; control characters in URLs are
 percent-encoded; rows without id are archived under no number, stay responses and never are referred to; rows that
 repeat an id are records of their own, of which equal payloads refer to the smallest id, so that a repeat of that id is
-a response again; other columns are ignored; an empty table gives no files and an empty index.
+a response again; a payload of any length that fits a batch (2 GB) is one record, read in one piece; other columns are
+ignored; an empty table gives no files and an empty index.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import bounded_batches, scratch_path, stored, tidy
 MIN_BYTES = 0
 GAP = 64 << 10  # ranges closer than this are read together
 READ = 2 << 20  # bytes of one read, if a record isn't longer
+TASK = 64 << 20  # bytes of archive that a task reads; less where the cluster has tasks to spare
+LEAST = 1 << 20
 ROLL = 256 << 20  # bytes after which a task begins another file
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "file string, offset long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -176,9 +179,22 @@ def reader(with_payload: bool) -> Callable:
     return tidy(run)
 
 
+def dealt(reads: DataFrame, size: int) -> DataFrame:
+    """Reads of ``size`` bytes in all, dealt out by stretches of the files.
+
+    An index row is a thousandth of what it stands for, so the number of tasks comes from the bytes to be read; as a
+    given number, it is not coalesced.
+    """
+    spare = min(reads.sparkSession.sparkContext.defaultParallelism, size // LEAST)
+    tasks = max(1, spare, -(-size // TASK))
+    stretch = F.floor(F.col("begin") / max(READ, size // tasks))
+    return reads.repartition(tasks, "file", stretch).sortWithinPartitions("file", "begin")
+
+
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the ``index`` rows name; revisits carry no payload but the length and digest of the full one."""
-    return ranges(index).mapInArrow(reader(with_payload), RECORD)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return dealt(ranges(index), size).mapInArrow(reader(with_payload), RECORD)
 
 
 def resolved(records: DataFrame) -> DataFrame:
