@@ -12,7 +12,7 @@ kind, length and digits is trained on the so labelled counts; it is a sum of wei
 the weak spans.
 
 Positions are code points, ends exclusive.  Defined cases: null and empty texts have no spans; all kinds of one text are
-independent of each other, so spans may overlap; repeated rows get equal results; without any candidate nothing is
+independent of each other, so spans may overlap; a text of any length is searched as a whole; repeated rows get equal results; without any candidate nothing is
 learned and nothing found; other columns are ignored or, in ``redact``, kept.
 """
 
@@ -238,9 +238,13 @@ def count_of(k: int) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with each found span replaced by its kind, as in <EMAIL>; of overlapping spans, one label for all."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text")  # no name can clash
-    marked = packed.withColumn("_c", candidates(F.col("text")))
+    """``docs`` with each found span replaced by its kind, as in <EMAIL>; of overlapping spans, one label for all.
+
+    The candidates are found once and stored with the documents.  Null and empty texts and texts without spans stay as
+    they are, rows that are there twice are treated alike, empty documents give an empty result.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), candidates(F.col("text")).alias("_c"))  # no name can clash
+    marked = stored(packed, "spans").select("doc", F.col("doc")["text"].alias("text"), "_c")
     weight = learn(marked)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     kind = "struct<p:int,t:array<string>>"
