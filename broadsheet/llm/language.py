@@ -2,15 +2,18 @@
 
 Each language has a distribution over hashed byte trigrams of lower-cased words, learned from labelled rows.  A
 document's words come each from one language of a mixture; expectation-maximisation over its words estimates the
-proportions.  Sets of languages are compared by penalised likelihood: the k languages of largest share are fitted
-again on their own for k = 1, 2, ... and each language beyond the first has to gain ``PENALTY`` times half the logarithm
-of the number of words.  The prediction is the language of largest share within the chosen set.
+proportions, until none of a document's moves by more than ``TOLERANCE``.  Sets of languages are compared by penalised
+likelihood: the k languages of largest share are fitted again on their own for k = 1, 2, ..., as long as a larger set
+can still win, and each language beyond the first has to gain ``PENALTY`` times half the logarithm of the number of
+words.  The prediction is the language of largest share within the chosen set (of equal ones the first by name), and its
+score is that share.
 
 Learning takes a bounded sample: of each label about ``PER_LANGUAGE`` rows, chosen by a hash of their ids.  The model,
-labels x 2^``BITS`` log-probabilities, is all that is sent to the tasks.
+labels x 2^``BITS`` log-probabilities, is all that is sent to the tasks; more than ``LABELS`` labels are refused.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as is everything where there is nothing to
-learn from; rows without label or id are not learned from; repeated rows are predicted alike; other columns are ignored.
+learn from; rows without label or id are not learned from; a text of any length is read as a whole; repeated rows are
+predicted alike, whatever they are in a batch with; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .segments import doc_groups
 PER_LANGUAGE = 1000
 BITS = 15
 CELLS = 1 << 21  # words' bytes x languages handled at once
-ROUNDS = 8
+TOLERANCE = 1e-4
+ROUNDS = 500  # of a document whose shares still move by more
 PENALTY = 6.0
+LABELS = 2000  # 0.5 GB of counts on the driver, half of that in the model
 
 # letters: ASCII letters, lower-cased, and all bytes beyond ASCII; the rest separates words
 LETTER = np.zeros(256, np.uint8)
@@ -79,6 +84,8 @@ def learn(docs: DataFrame, is_labelled: Column, per_language: int = PER_LANGUAGE
     labels = sorted(sizes)
     if not labels:
         return [], np.zeros((1 << BITS, 0), np.float32)
+    if len(labels) > LABELS:
+        raise ValueError(f"{len(labels)} labels; at most {LABELS} can be learned")
     share = F.create_map(*(F.lit(x) for label in labels for x in (label, min(1.0, per_language / sizes[label]))))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
     sample = rows.where(chosen).select("lang", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bin"))
@@ -88,22 +95,37 @@ def learn(docs: DataFrame, is_labelled: Column, per_language: int = PER_LANGUAGE
     return labels, np.log(table / table.sum(0)).astype(np.float32)
 
 
-def fit(like: np.ndarray, heads: np.ndarray, doc: np.ndarray, counts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods (above the words' best languages) by EM from ``share``, for all documents at once."""
+def fit(like: np.ndarray, counts: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods (above the words' best languages) by EM from ``share``.
+
+    All documents go through rounds together; each keeps the shares of the round in which it has settled.
+    """
+    out, live, now, words, sizes = share.copy(), np.arange(len(counts)), share, like, counts
+    open_ = np.ones(len(counts), bool)
     for _ in range(ROUNDS):
-        given = like * share[doc]
+        heads = np.cumsum(sizes) - sizes
+        given = words * np.repeat(now, sizes, axis=0)
         given /= given.sum(1, keepdims=True) + 1e-30
-        share = np.add.reduceat(given, heads, axis=0) / counts[:, None]
-    return share, np.add.reduceat(np.log((like * share[doc]).sum(1) + 1e-30).astype(np.float64), heads)
+        fresh = np.add.reduceat(given, heads, axis=0) / sizes[:, None]
+        still = np.abs(fresh - now).max(1) > TOLERANCE
+        out[live[open_]] = fresh[open_]
+        open_ &= still
+        now = fresh
+        if not open_.any():
+            break
+        if open_.mean() < 0.7:  # go on with the others
+            words, live, now, sizes = words[np.repeat(open_, sizes)], live[open_], now[open_], sizes[open_]
+            open_ = np.ones(len(live), bool)
+    heads = np.cumsum(counts) - counts
+    return out, np.add.reduceat(np.log((like * np.repeat(out, counts, axis=0)).sum(1) + 1e-30).astype(np.float64), heads)
 
 
 def mixtures(logs: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares [documents, languages] of the chosen sets and of all languages together, from the words' log-likelihoods."""
     n, languages = len(counts), logs.shape[1]
-    doc = np.repeat(np.arange(n), counts)
     best = logs.max(1)
     like = np.exp(logs - best[:, None])
-    share, full = fit(like, heads, doc, counts, np.full((n, languages), 1 / languages, np.float32))
+    share, full = fit(like, counts, np.full((n, languages), 1 / languages, np.float32))
     alone = np.add.reduceat((logs - best[:, None]).astype(np.float64), heads, axis=0)
     one = alone.argmax(1)
     chosen = np.zeros((n, languages))
@@ -117,11 +139,10 @@ def mixtures(logs: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> tuple[n
             break
         mask = np.zeros((len(todo), languages), np.float32)
         np.put_along_axis(mask, order[todo, :k], 1, 1)
-        rows = np.isin(doc, todo)
         c = counts[todo]
-        h = np.cumsum(c) - c
+        rows = np.repeat(np.isin(np.arange(n), todo), counts)
         start = (share[todo] + 1e-3) * mask
-        s, l = fit(like[rows], h, np.repeat(np.arange(len(todo)), c), c, (start / start.sum(1, keepdims=True)).astype(np.float32))
+        s, l = fit(like[rows], c, (start / start.sum(1, keepdims=True)).astype(np.float32))
         better = l - (k - 1) * cost[todo] > value[todo]
         chosen[todo[better]], value[todo[better]] = s[better], (l - (k - 1) * cost[todo])[better]
     return chosen, share
@@ -148,9 +169,9 @@ def predicted(labels: list[str], table: np.ndarray, keep: list[str]) -> Callable
                 code, heads = grams(sub, starts, ends)
                 logs = np.concatenate([np.add.reduceat(table[code[heads[a] : heads[b] if b < len(heads) else None]], heads[a:b] - heads[a], axis=0) for a in range(0, len(heads), step) for b in (min(a + step, len(heads)),)])
                 counts = counts[full]
-                chosen, share = mixtures(logs, np.cumsum(counts) - counts, counts)
+                chosen, _ = mixtures(logs, np.cumsum(counts) - counts, counts)
                 top = chosen.argmax(1)
-                pred[i + full], score[i + full] = top, share[np.arange(len(top)), top]
+                pred[i + full], score[i + full] = top, chosen[np.arange(len(top)), top]
                 for row, x in zip((i + full).tolist(), chosen, strict=True):
                     order = np.argsort(-x, kind="stable")
                     order = order[x[order] > 0]
@@ -197,6 +218,10 @@ def identify(docs: DataFrame, is_labelled: Column | None = None, keep: tuple[str
 
 
 def keep_identified(docs: DataFrame, is_labelled: Column | None = None) -> DataFrame:
-    """``docs`` without those in which no language is found; ``lang`` becomes the prediction."""
+    """``docs`` without those in which no language is found; ``lang`` becomes the prediction.
+
+    So null, empty and letterless texts go, and all of them where nothing can be learned; rows that are there twice both
+    stay; an empty table gives an empty result.
+    """
     found = identified(docs, is_labelled, docs.columns).where(F.col("lang_pred") != "und")
     return found.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -54,6 +54,75 @@ def test_mixture_of_six_languages():
     assert chosen[1].tolist() == [0.0] * 6 + [1.0]
 
 
+def naive_mixture(text, labels, count):
+    """One document by plain loops: EM over words for each set, penalised likelihood. count: label -> trigram -> n."""
+    import math
+
+    letters = lambda b: chr(b).lower() if chr(b).isascii() and chr(b).isalpha() else (b if b > 127 else None)
+    found, now = [], []
+    for b in [*text.encode(), 32]:
+        x = letters(b)
+        if x is None:
+            if now:
+                found.append(now)
+            now = []
+        else:
+            now.append(x)
+    grams = [[(w[i - 1] if i else 0, w[i], w[i + 1] if i + 1 < len(w) else 0) for i in range(len(w))] for w in found]
+    total = {x: sum(count[x].values()) + 0.5 * (1 << language.BITS) for x in labels}
+    logs = [{x: sum(math.log((count[x].get(g, 0) + 0.5) / total[x]) for g in w) for x in labels} for w in grams]
+    like = [{x: math.exp(v - max(w.values())) for x, v in w.items()} for w in logs]
+
+    def em(names, share):
+        for _ in range(2000):
+            fresh = dict.fromkeys(names, 0.0)
+            for w in like:
+                whole = sum(w[x] * share[x] for x in names)
+                for x in names:
+                    fresh[x] += w[x] * share[x] / whole / len(like)
+            moved, share = max(abs(fresh[x] - share[x]) for x in names), fresh
+            if moved < 1e-7:
+                break
+        return share, sum(math.log(sum(w[x] * share[x] for x in names)) for w in like)
+
+    every, _ = em(labels, dict.fromkeys(labels, 1 / len(labels)))
+    order = sorted(labels, key=lambda x: (-every[x], x))
+    sets = [({x: 1.0}, sum(math.log(max(w[x], 1e-300)) for w in like)) for x in labels]
+    best = max(sets, key=lambda s: s[1])
+    for k in range(2, len(labels) + 1):
+        share, value = em(order[:k], {x: (every[x] + 1e-3) for x in order[:k]})
+        value -= (k - 1) * language.PENALTY / 2 * math.log(len(like) + 1)
+        best = max(best, (share, value), key=lambda s: s[1])
+    return best[0]
+
+
+def test_mixtures_equal_a_naive_fit(spark):
+    rng = random.Random(11)
+    rows = [(i, words(x, 40, rng), x) for i, x in enumerate(["xx", "yy", "zz"] * 15)]
+    mixed = [(1000 + i, " ".join(words(x, n, rng) for x, n in parts)) for i, parts in enumerate([[("xx", 40)], [("xx", 30), ("yy", 30)], [("zz", 50), ("xx", 3)], [("xx", 20), ("yy", 25), ("zz", 30)], [("yy", 5)], [("zz", 1)]])]
+    frame = spark.createDataFrame([*rows, *((i, t, None) for i, t in mixed)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(frame, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()}
+    count = {x: {} for x in SYLLABLES}
+    for _, text, x in rows:
+        for w in text.split():
+            b = [chr(c) if c < 128 else c for c in w.encode()]
+            for i in range(len(b)):
+                g = (b[i - 1] if i else 0, b[i], b[i + 1] if i + 1 < len(b) else 0)
+                count[x][g] = count[x].get(g, 0) + 1
+    for i, text in mixed:
+        share = naive_mixture(text, sorted(SYLLABLES), count)
+        assert set(got[i].languages) == set(share), (text, share, got[i])
+        assert got[i].shares == pytest.approx([share[x] for x in got[i].languages], abs=0.01)
+        assert got[i].lang_pred == max(sorted(share), key=lambda x: share[x]) and got[i].score == pytest.approx(max(share.values()), abs=0.01)
+
+
+def test_more_labels_than_can_be_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LABELS", 2)
+    frame = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        language.identify(frame)
+
+
 def test_licences(spark):
     rows = [
         (1, "text\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "Licensed under CC BY-NC 4.0."), (4, "Licensed under CC BY 4.0."),
@@ -300,6 +369,18 @@ def test_ranges_are_joined(spark):
     assert got == [("f", 0, 20, 2), ("f", 5_000_000, 5_000_010, 1), ("g", 0, 10, 1)]
 
 
+def test_archives_are_read_by_several_tasks(spark):
+    index = spark.range(400).selectExpr("concat('f', id % 3) AS file", "id * 1000000 AS offset", "1000000L AS length")
+    reads = warc.ranges(index)
+    some = warc.dealt(reads, 400_000_000)
+    wanted = max(spark.sparkContext.defaultParallelism, 6)
+    assert len({r.p for r in some.select(F.spark_partition_id().alias("p")).collect()}) > wanted // 2
+    assert some.rdd.getNumPartitions() == wanted
+    assert warc.dealt(reads, 10_000).rdd.getNumPartitions() == 1
+    assert warc.dealt(reads, 64 << 30).rdd.getNumPartitions() == 1024
+    assert sorted(map(str, some.collect())) == sorted(map(str, reads.collect()))
+
+
 @needs_model
 def test_relational_lattice_equals_the_batches(spark):
     from broadsheet.llm.lattice import encode_relational
