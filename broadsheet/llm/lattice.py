@@ -19,6 +19,7 @@ from .sentencepiece import MODEL, SPACE, PieceTable
 
 
 BROADCAST = 1_000_000  # pieces
+LONGEST = 63  # characters of a piece, as the fold numbers edges by start and length
 
 
 def pieces(spark: SparkSession, table: PieceTable) -> DataFrame:
@@ -82,10 +83,13 @@ def fold_viterbi(word: Column, found: Column, penalty: float) -> Column:
 
 
 def encode_relational(docs: DataFrame, model: str | PieceTable = MODEL) -> DataFrame:
-    """doc_id and ids, as ``sentencepiece.encode`` has them; rows of one doc_id must be distinct."""
+    """doc_id and ids, as ``sentencepiece.encode`` has them, a row per row; a null or empty text has no ids."""
     table = model if isinstance(model, PieceTable) else PieceTable.load(model)
+    if table.longest > LONGEST:
+        raise ValueError(f"a piece of {table.longest} characters; at most {LONGEST} are allowed")
     spark = docs.sparkSession
-    places = docs.select("doc_id", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    places = docs.select("_row", "doc_id", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
     lattice = edges(places.select("word").where(F.col("word").isNotNull()).distinct(), pieces(spark, table), table.longest)
     bounds = fold_bpe(F.col("word"), F.col("edges")) if table.bpe else fold_viterbi(F.col("word"), F.col("edges"), min(table.scores[i] for i in table.ids.values()) - 10.0)
     byte = F.array(*(F.lit(i) for i in table.bytes))
@@ -105,5 +109,5 @@ def encode_relational(docs: DataFrame, model: str | PieceTable = MODEL) -> DataF
         return F.flatten(F.transform(F.sequence(F.lit(1), F.size(b) - 1), piece))
 
     coded = lattice.select("word", let(bounds, ids).alias("ids"))
-    rows = places.join(coded, "word", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
+    rows = places.join(coded, "word", "left").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
     return rows.select("doc_id", F.flatten(F.transform(F.filter("x", lambda x: x["ids"].isNotNull()), lambda x: x["ids"])).alias("ids"))

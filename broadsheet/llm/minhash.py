@@ -17,8 +17,9 @@ Bags that are equal become one node.  Nodes that share a band are candidates:
 Candidates are verified by the exact weighted Jaccard similarity of their bags.  Classes are the connected components.
 
 Defined cases: null and empty texts, and those of white space, have no shingles and are classes of their own (by id);
-copies, ties and repeated rows share a class; rows of one id count as one document; a row without id has a null class;
-other columns are ignored or, in ``keep_first``, kept; an empty table gives an empty result.
+copies, ties and repeated rows share a class; a text of any length is one bag of all its shingles; rows of one id count
+as one document; a row without id has a null class; other columns are ignored or, in ``keep_first``, kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ SMALL = 16  # nodes of a bucket up to which pairs are listed one by one
 BLOCK = 256  # nodes of larger buckets that are compared with as many others at once
 GROUP = 512  # comparisons with one node that a task makes in a row
 CHUNK = 1 << 19
+ROUNDING = 1e-9
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -163,7 +165,7 @@ def verified(similarity: float) -> Callable:
         at[at == len(left[0])] = 0
         same = left[0][at] == e
         both = np.minimum(left[1][at], w)[same].sum()
-        return both >= similarity * (left[2] + w.sum() - both) - 1e-9
+        return both >= similarity * (left[2] + w.sum() - both) - ROUNDING
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, left_a, paired = [], None, False
@@ -239,7 +241,7 @@ def linked_blocks(similarity: float) -> Callable:
         both = overlaps(e, w, sizes)
         total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=w, minlength=len(sizes))
         root = np.array(roots)
-        x, y = np.nonzero((both >= similarity * (total[:, None] + total[None, :] - both) - 1e-6) & (both > 0) & (root[:, None] < root[None, :]))
+        x, y = np.nonzero((both >= similarity * (total[:, None] + total[None, :] - both) - ROUNDING) & (both > 0) & (root[:, None] < root[None, :]))
         found = {(roots[p], roots[q]): (nodes[p], nodes[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True)}
         return [(min(p), max(p)) for p in found.values()]
 
@@ -317,7 +319,11 @@ def all_nodes_of_ids(sign: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents of a class but that of least id; rows without id stay."""
+    """``docs`` without the documents of a class but that of least id.
+
+    Rows without id stay, null and empty texts are classes of their own, rows that repeat the kept id all stay; an empty
+    table gives an empty result.
+    """
     classes = near_duplicates(docs.where(F.col("doc_id").isNotNull()), similarity)
     dropped = classes.where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

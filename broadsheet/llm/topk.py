@@ -11,7 +11,8 @@ and its own k best per query.  A first threshold per query comes from ``SAMPLE``
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as filled
 up with zeros; rows with the query's id are no candidates; null ids take no part; a repeated query id is one query (its
-least vector), a repeated candidate row counts as often as it stands there; empty tables give an empty result.
+least vector), a repeated candidate row counts as often as it stands there; a score that 64 bits can't hold raises; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def search(ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> Callabl
                 i, j, score = i[fine], j[fine], score[fine]
             other = ids[i] != own[j]
             i, j = i[other], j[other]
-            score = np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in score[other]], np.int64) if score.dtype == object else score[other].astype(np.int64)
+            score = np.array(list(score[other]), np.int64) if score.dtype == object else score[other].astype(np.int64)  # OverflowError beyond 64 bits
             i, c, score, rank = best(*(np.concatenate(p) for p in zip(held, (i, own[j], score), strict=True)), k)
             held = [i, c, score]
             last = rank == k - 1

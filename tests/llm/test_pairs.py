@@ -171,3 +171,10 @@ def test_top_k_cases(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, frame.vec_id % 20 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 6, 64 * 64 * 10**7 + 64 * 64 * 10**9), (0, 2, 1, 64 * 64), (0, 3, 7, 0)]
     assert topk.top_k(frame.limit(0), frame.vec_id == 0).count() == 0
+
+
+def test_scores_beyond_64_bits_raise():
+    q = np.array([[2.0**40, 0.0]])
+    batch = pa.RecordBatch.from_pydict({"vec_id": [7], "embedding": pa.array([[2.0**34, 1.0]], pa.list_(pa.float64()))})
+    with pytest.raises(OverflowError):
+        list(topk.search(np.array([0]), q, np.array([-np.inf]), 5)(iter([batch])))

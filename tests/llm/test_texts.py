@@ -160,6 +160,69 @@ def test_licence_in_a_long_line():
     assert scan.scan(prose + " a licence, a copyright " + prose) == []
 
 
+def test_licence_titles_and_tags():
+    scan = license.Scanner()
+    names = lambda text: sorted(dict(x for a, b in license.blocks(text) for x in scan.scan(text[a:b])))
+    for text, wanted in (
+        ("# SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: Apache-2.0 */", ["Apache-2.0"]), ("SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0"]),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: MIT-0", []), ("SPDX-License-Identifier: BSD-3-Clause-Clear", []), ("SPDX-License-Identifier: CC-BY-4.0.", ["CC-BY-4.0"]),
+        ("MIT License\n\nCopyright (c) 2020 A. Person", ["MIT"]), ("BSD 3-Clause License", ["BSD-3-Clause"]), ("This is licensed under the GPLv3.", ["GPL-3.0"]),
+        ("They talked about the permission and the MIT building", []), ("an omit license", []),
+        ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ["BSD-2-Clause"]),
+    ):
+        assert names(text) == wanted, text
+        assert names("prose\n" * 300 + text + "\nmore prose" * 300) == wanted, text
+
+
+def test_licences_equal_brute_force(spark):
+    """Every template against every block, without marks in Spark, caches, ranking or early ends."""
+    import difflib
+
+    import zstandard
+
+    rng = random.Random(9)
+    notices = [t for _, _, t in license.TEMPLATES] + ["a licence", "copyright 2001 by me", "all rights reserved to all", "the mit license", "no warranty", "SPDX-License-Identifier: MIT-0"]
+    other = ["plain words stand here", "and more of them, many more", "", "x y z"]
+    texts = ["\n".join(rng.choice(notices if rng.random() < 0.3 else other) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += [" ".join(rng.choice(notices + other * 4) for _ in range(12)) for _ in range(20)]
+
+    def saved(template, text):
+        given = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(template.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        return 1 - len(given.compress(text.encode())) / len(zstandard.ZstdCompressor(level=3).compress(text.encode()))
+
+    def licences(text):
+        lines, marked = text.split("\n"), set()
+        at = np.cumsum([0, *(len(x) + 1 for x in lines)])
+        for pattern in [license.WORDING, *(license.whole(k) for _, k, _ in license.TEMPLATES)]:
+            for m in re.finditer("(?i)" + pattern, text):
+                marked |= set(range(int(np.searchsorted(at, m.start(), "right")) - 1, int(np.searchsorted(at, m.end() - 1, "right"))))
+        blocks, out = [], set()
+        for i in sorted(marked):
+            if blocks and i - blocks[-1][1] <= license.BETWEEN + 1:
+                blocks[-1][1] = i
+            else:
+                blocks.append([i, i])
+        for a, b in blocks:
+            block = "\n".join(lines[a : b + 1])
+            found, here = license.words(block), {}
+            for name, key, template in license.TEMPLATES:
+                pattern, own = "(?i)" + license.whole(key), license.words(template)
+                m = re.search(pattern, template)
+                gains = [saved(template, block[max(0, x.start() - m.start()) : x.end() + len(template) - m.end()]) for x in re.finditer(pattern, block)]
+                short = len(found) <= 2 * len(own)
+                gains += [saved(template, block)] if gains and short else []
+                same = sum(x.size for x in difflib.SequenceMatcher(None, own, found, autojunk=False).get_matching_blocks())
+                if gains and (max(gains) >= license.GAIN or not short) and same >= (1 - license.LOST) * len(own):
+                    here[name] = 1
+            out |= {x for x in here if license.WITHIN.get(x) not in here}
+        return len(blocks), sorted(out)
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_blocks, r.licenses) for r in license.scan_licenses(frame).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == licences(text), text
+
+
 def test_licence_ranking():
     scan = license.Scanner()
     for name, _, text in license.TEMPLATES:
@@ -390,6 +453,12 @@ def test_relational_lattice_equals_the_batches(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     wanted = {r.doc_id: r.ids for r in sentencepiece.encode(frame).collect()}
     assert {r.doc_id: r.ids for r in encode_relational(frame).collect()} == wanted
+    again = spark.createDataFrame([(1, "one text"), (1, "one text"), (None, "another")], "doc_id long, text string")
+    pairs = lambda df: sorted((r.doc_id or 0, r.ids) for r in df.select("doc_id", "ids").collect())
+    assert pairs(encode_relational(again)) == pairs(sentencepiece.encode(again))
+    table = sentencepiece.PieceTable(["<unk>", "a" * 64], [0.0, -1.0], ["unknown", "normal"], False, True)
+    with pytest.raises(ValueError, match="64 characters"):
+        encode_relational(frame, table)
 
 
 def test_relational_viterbi(spark):
