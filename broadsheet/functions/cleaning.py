@@ -64,8 +64,12 @@ class Cleaner:
         return df.withColumn(output, now)
 
 
-def by_distinct_text(df: DataFrame, column: str, function: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Replace ``column`` by ``function`` of it, computed once per distinct text; where it fails the text stays."""
+#: What a service may fail with; anything else is an error of the function and stops the job.
+FAILURES = (OSError, TimeoutError)
+
+
+def by_distinct_text(df: DataFrame, column: str, function: Callable[[list[str]], list[str]], failures: tuple = FAILURES) -> DataFrame:
+    """Replace ``column`` by ``function`` of it, computed once per distinct text; where a service fails the text stays."""
     import pyarrow as pa
 
     def run(batches):
@@ -73,7 +77,7 @@ def by_distinct_text(df: DataFrame, column: str, function: Callable[[list[str]],
             texts = batch["_in"].to_pylist()
             try:
                 out = function(texts)
-            except Exception:  # a failing service must not stop the job: the original text is the defined result
+            except failures:  # a failing service must not stop the job: the original text is the defined result
                 out = texts
             yield pa.RecordBatch.from_arrays([batch["_in"], pa.array(out, pa.string())], names=["_in", "_out"])
 

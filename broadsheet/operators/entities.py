@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..schemas import ENTITIES, RESPONSES
+from ..schemas import RESPONSES
 
 # Labels of a German entity model and our types.
 LABELS = {"Person": "person", "Organisation": "organization", "Ereignis": "event", "Ort": "location"}
@@ -250,5 +250,3 @@ def validated(responses: DataFrame, kind: str, column: str = "response") -> tupl
     judged = parsed.withColumn("_fine", F.coalesce(fine, F.lit(False)))
     return judged.where("_fine").drop("_fine"), judged.where("not _fine").drop("_fine", "parsed")
 
-
-EMPTY = ENTITIES

@@ -75,37 +75,79 @@ def region_text(layouts: DataFrame, x1: float, y1: float, x2: float, y2: float)
     return layouts.select("image_file", F.array_join(F.transform(meets, lambda d: d["text_content"]), "\n\n").alias("text"))
 
 
-def caption_entities(pairs: DataFrame, ner: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Entities whose text occurs in a caption, in any case; a row per caption and entity row.
+PIECE = 64
+FEW = 500_000  # names up to which they are broadcast; counted first, as the size of exploded pieces can't be estimated
 
-    Words are matched first: a caption contains an entity only if it contains a word that holds the entity's first
-    three letters, so three-letter keys of both sides are joined and the rest is compared; shorter entities are compared
-    with all captions, as a broadcast of their distinct texts, which are at most three letters long.
+
+def places(text: Column, width: int, size: int) -> Column:
+    """The pieces of up to ``size`` letters from each place with ``width`` letters behind it; short ones once."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (width - 1), F.lit(1)))
+    pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return pieces if size == PIECE else F.array_distinct(pieces)
+
+
+def containing(texts: DataFrame, key: str, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Distinct (key, name): which of the distinct, non-empty ``names`` stand anywhere in which texts.
+
+    A text contains a name only where the name's first letters stand, so pieces of each text, of at most ``PIECE``
+    letters from every place, are joined by their first 6 letters with the first 6 of the names, and what meets is
+    compared; names of 3 to 5 letters by their first 3, shorter ones by all.  Names longer than a piece are compared with
+    the whole text where their first ``PIECE`` letters stand.  Up to ``FEW`` names are broadcast, more are shuffled.
     """
-    caps = pairs.select("fulltext_basename", F.lower(caption()).alias("_cap")).where("_cap <> ''")
-    e = ner.withColumn("_ent", F.lower("entity")).where("_ent is not null and _ent <> ''")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_cap") - 2, F.lit(1))), lambda i: F.substring(F.col("_cap"), i, F.lit(3))))
-    keyed = caps.withColumn("_key", F.explode(grams))
-    long = e.where(F.length("_ent") >= 3).withColumn("_key", F.substring("_ent", 1, 3))
-    # the first three letters stand at a place of the caption exactly once in its distinct keys: no pair comes twice
-    out = keyed.join(long, "_key").where(F.contains("_cap", "_ent"))
-    short = e.where(F.length("_ent") < 3)
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("_cap")), lambda i: F.array(F.substring(F.col("_cap"), i, F.lit(1)), F.substring(F.col("_cap"), i, F.lit(2))))))
-    tiny = caps.withColumn("_key", F.explode(parts)).join(short.withColumn("_key", F.col("_ent")), "_key")
-    return out.unionByName(tiny.select(*out.columns)).drop("_key", "_cap", "_ent")
+    length, out = F.length(F.col(name)), None
+    few = names.limit(FEW + 1).count() <= FEW
+    for least, most, width, size in ((6, PIECE, 6, PIECE), (3, 5, 3, 5), (2, 2, 2, 2), (1, 1, 1, 1), (PIECE + 1, None, PIECE, PIECE)):
+        some = names.where(length >= least if most is None else length.between(least, most)).withColumn("_key", F.substring(name, 1, width))
+        some = F.broadcast(some) if few else some.hint("shuffle_hash")
+        pieces = places(F.col(column), width, size)
+        found = texts.select(key, F.explode(pieces).alias("_piece")).withColumn("_key", F.substring("_piece", 1, width)).join(some, "_key")
+        if most is None:
+            found = found.select(key, name).distinct().join(texts.select(F.col(key), F.col(column).alias("_text")), key).where(F.contains(F.col("_text"), F.col(name)))
+        else:
+            found = found.where(F.startswith(F.col("_piece"), F.col(name)))
+        found = found.select(key, name)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def caption_names(pairs: DataFrame, ner: DataFrame) -> DataFrame:
+    """(fulltext_basename, _ent): which lower-cased entity texts stand in which caption, in any case."""
+    captions = pairs.select("fulltext_basename", F.lower(caption()).alias("_cap")).where("_cap <> ''")
+    names = ner.select(F.lower("entity").alias("_ent")).where("_ent <> ''").distinct()
+    return containing(captions, "fulltext_basename", "_cap", names, "_ent")
+
+
+def caption_entities(pairs: DataFrame, ner: DataFrame) -> DataFrame:
+    """Entities whose text occurs in a caption, in any case; a row per caption and entity row."""
+    return caption_names(pairs, ner).join(ner.withColumn("_ent", F.lower("entity")), "_ent").drop("_ent")
+
+
+def caption_entity_counts(pairs: DataFrame, ner: DataFrame) -> DataFrame:
+    """fulltext_basename, entity, n: the rows of ``caption_entities``, counted without making them."""
+    counts = ner.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ent", F.lower("entity"))
+    return caption_names(pairs, ner).join(counts, "_ent").groupBy("fulltext_basename", "entity").agg(F.sum("_n").alias("n"))
 
 
 def multimodal_index(layouts: DataFrame, emotions: DataFrame, ner: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A row per page: date, text regions, pictures, dominant emotion and mean confidence, entities and captions."""
-    d = F.coalesce(F.col("detections"), F.array().cast(layouts.schema["detections"].dataType))
-    page = layouts.select(
-        D.stem(F.col("image_file")).alias("page_id"), "date", F.size(F.filter(d, lambda x: x["class"] == "Text")).alias("text_regions"), F.size(F.filter(d, lambda x: x["class"] == "Picture")).alias("pictures"),
+    """A row per page: page_id, date, image_file, total_detections, has_picture, dominant_emotion, emotion_score, entity_count, top_entity.
+
+    A page without date takes the second part of its id; its pictures are the pairs whose ``source_image`` holds its id.
+    Of equally frequent emotions and entities the least counts; ``unknown`` and 0 stand for absent emotions.
+    """
+    own = F.col("stem") if "stem" in layouts.columns else D.stem(F.col("image_file"))
+    page = layouts.withColumn("page_id", own).select(
+        "page_id", F.coalesce(F.nullif("date", F.lit("")), F.get(F.split("page_id", "_"), F.lit(1))).alias("date"), "image_file", F.coalesce("total_detections", F.lit(0)).alias("total_detections")
+    )
+    emotion = emotions.groupBy("page_id").agg(F.mode("emotion", True).alias("_emotion"), F.avg("confidence").alias("_score"))
+    people = ner.groupBy("date").agg(F.count(F.lit(1)).alias("_count"), F.mode("entity", True).alias("top_entity"))
+    paths = pairs.select(F.col("source_image").alias("_path"), F.col("source_image").alias("_where")).where("_path <> ''").distinct()
+    seen = containing(paths, "_path", "_where", page.select(F.col("page_id").alias("_id")).where("_id <> ''").distinct(), "_id")
+    seen = seen.select(F.col("_id").alias("page_id"), F.lit(True).alias("_seen")).distinct()
+    out = page.join(emotion, "page_id", "left").join(people, "date", "left").join(seen, "page_id", "left")
+    return out.select(
+        "page_id", "date", "image_file", "total_detections", F.coalesce("_seen", F.lit(False)).alias("has_picture"), F.coalesce("_emotion", F.lit("unknown")).alias("dominant_emotion"),
+        F.coalesce("_score", F.lit(0.0)).alias("emotion_score"), F.coalesce("_count", F.lit(0)).alias("entity_count"), "top_entity",
     )
-    emotion = emotions.groupBy("page_id").agg(F.mode("emotion", True).alias("dominant_emotion"), F.avg("confidence").alias("emotion_confidence"))
-    people = ner.groupBy("date").agg(F.count(F.lit(1)).alias("entities"))
-    caps = pairs.select(D.stem(F.col("source_fulltext")).alias("page_id")).groupBy("page_id").agg(F.count(F.lit(1)).alias("captions"))
-    out = page.join(emotion, "page_id", "left").join(people, "date", "left").join(caps, "page_id", "left")
-    return out.withColumn("entities", F.coalesce("entities", F.lit(0))).withColumn("captions", F.coalesce("captions", F.lit(0)))
 
 
 # -- the graph (Date)-[CONTAINS]->(TextBlock)-[MENTIONS]->(Entity), (Date)-[CONTAINS]->(Concept), as edge tables --------

@@ -150,7 +150,8 @@ def f1(spark, sf_dir):
 
 @on_lines("f2_get_line", "SELECT line_id, text, date FROM lines WHERE line_id = '7_0'")
 def f2(spark, sf_dir):
-    return V.lines(spark, sf_dir).where(F.col("line_id") == "7_0").select("line_id", "text", "date")
+    row = QueryEngine(spark, lines=V.lines(spark, sf_dir)).get_line("7_0")
+    return spark.createDataFrame([tuple(row[c] for c in ("line_id", "text", "date"))] if row else [], "line_id string, text string, date timestamp")
 
 
 @on_lines("f3_search_text", "SELECT line_id, text, date FROM lines WHERE text ILIKE '%thth%' AND date >= '1902-01-01' AND date <= '1912-12-31' ORDER BY date, line_id LIMIT 100")
@@ -224,12 +225,8 @@ def j2(spark, sf_dir):
     return entities.compare_methods(A(spark, sf_dir), B(spark, sf_dir), V.lines(spark, sf_dir))
 
 
-@on_lines("j3_coverage", """, l AS (SELECT DISTINCT line_id FROM ea), g AS (SELECT DISTINCT line_id FROM eb)
-SELECT count(DISTINCT s.line_id) AS total_lines, count(DISTINCT l.line_id) AS llm_coverage, count(DISTINCT g.line_id) AS gliner_coverage,
-count(DISTINCT CASE WHEN l.line_id IS NOT NULL AND g.line_id IS NOT NULL THEN s.line_id END) AS both_methods,
-count(DISTINCT CASE WHEN l.line_id IS NOT NULL AND g.line_id IS NULL THEN s.line_id END) AS llm_only,
-count(DISTINCT CASE WHEN l.line_id IS NULL AND g.line_id IS NOT NULL THEN s.line_id END) AS gliner_only
-FROM lines s LEFT JOIN l ON s.line_id = l.line_id LEFT JOIN g ON s.line_id = g.line_id""", V.ENTITIES_A, V.ENTITIES_B)
+@on_lines("j3_coverage", """, flags AS (SELECT line_id, line_id IN (SELECT line_id FROM ea) AS a, line_id IN (SELECT line_id FROM eb) AS b FROM (SELECT DISTINCT line_id FROM lines))
+SELECT count(*) AS total_lines, count(*) FILTER (a) AS llm_coverage, count(*) FILTER (b) AS gliner_coverage, count(*) FILTER (a AND b) AS both_methods, count(*) FILTER (a AND NOT b) AS llm_only, count(*) FILTER (b AND NOT a) AS gliner_only FROM flags""", V.ENTITIES_A, V.ENTITIES_B)
 def j3(spark, sf_dir):
     return entities.coverage(A(spark, sf_dir), B(spark, sf_dir), V.lines(spark, sf_dir))
 
@@ -272,7 +269,9 @@ def j21(spark, sf_dir):
     return entities.co_occurrence(A(spark, sf_dir), more_than=None, kind="person")
 
 
-@on_lines("j8_method_counts", "SELECT e1.entity_text, count(*) AS gliner_count, CAST(sum(CASE WHEN e2.entity_text IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS llm_count FROM ea e1 LEFT JOIN eb e2 ON e1.line_id = e2.line_id AND e1.entity_text = e2.entity_text WHERE e1.entity_type = 'person' GROUP BY 1 HAVING count(*) > 3", V.ENTITIES_A, V.ENTITIES_B)
+@on_lines("j8_method_counts", """, found AS (SELECT line_id, entity_text, count(*) AS n FROM eb GROUP BY ALL),
+named AS (SELECT ea.entity_text, coalesce(n, 0) AS n FROM ea LEFT JOIN found USING (line_id, entity_text) WHERE ea.entity_type = 'person')
+SELECT entity_text, CAST(sum(greatest(n, 1)) AS BIGINT) AS gliner_count, CAST(sum(n) AS BIGINT) AS llm_count FROM named GROUP BY entity_text HAVING sum(greatest(n, 1)) > 3""", V.ENTITIES_A, V.ENTITIES_B)
 def j8(spark, sf_dir):
     return entities.method_counts(A(spark, sf_dir), B(spark, sf_dir), more_than=3)
 
@@ -696,12 +695,13 @@ def m2(spark, sf_dir):
     return explore.picture_area(V.pairs(spark, sf_dir)).select("fulltext_basename", "area")
 
 
-@entry("j13_caption_entities", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + "SELECT fulltext_basename, entity, count(*) AS n FROM pairs JOIN (SELECT lower(entity) AS k, entity FROM ner) ON contains(lower(caption), k) GROUP BY ALL")
+@entry("j13_caption_entities", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + """, names AS (SELECT entity, lower(entity) AS k, count(*) AS n FROM ner GROUP BY ALL)
+SELECT fulltext_basename, entity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT fulltext_basename, lower(caption) AS c FROM pairs WHERE caption <> '') JOIN names ON contains(c, k) GROUP BY ALL""")
 def j13(spark, sf_dir):
-    return explore.caption_entities(V.pairs(spark, sf_dir), V.ner(spark, sf_dir)).groupBy("fulltext_basename", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return explore.caption_entity_counts(V.pairs(spark, sf_dir), V.ner(spark, sf_dir))
 
 
-@entry("j14_region_text", "SELECT 'a/p' || doc_id || '.jpg' AS image_file, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) || chr(10) || chr(10) || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS text FROM documents")
+@entry("j14_region_text", "SELECT 'a/p' || doc_id || '.jpg' AS image_file, CASE WHEN coalesce(text, '') = '' THEN '' WHEN doc_id % 2 = 0 THEN text || chr(10) || chr(10) || text ELSE text END AS text FROM documents")
 def j14(spark, sf_dir):
     return explore.region_text(V.layouts(spark, sf_dir), 4, 2, 12, 3)
 
@@ -711,14 +711,21 @@ def f11(spark, sf_dir):
     return explore.selected_classes(V.layouts(spark, sf_dir), ["Text", "Title"]).select("image_file", F.size("detections").alias("n"))
 
 
-@entry("j15_multimodal_index", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + """SELECT 'p' || doc_id AS page_id, strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') AS date, 1 AS text_regions, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS pictures,
-least(lang, source) AS dominant_emotion, CAST(0.5 AS DOUBLE) AS emotion_confidence, coalesce(c, 0) AS entities, CAST(1 AS BIGINT) AS captions
-FROM documents LEFT JOIN (SELECT date, count(*) AS c FROM ner GROUP BY date) x ON x.date = strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d')""")
+@entry("j15_multimodal_index", V.with_(V.LINES, V.ENTITIES_B, V.NER, V.PAIRS) + """, pages AS (SELECT doc_id, 'p' || doc_id AS page_id, CASE WHEN doc_id % 4 > 0 THEN strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') END AS date FROM documents),
+felt AS (SELECT 'p' || text_block_id AS page_id, CASE WHEN y % 3 = 0 THEN lang ELSE substr(text, 1, 1) END AS emotion, y % 4 / 4.0 AS confidence FROM lines WHERE lang <> 'de'),
+often AS (SELECT page_id, emotion, count(*) AS n FROM felt GROUP BY ALL), mood AS (SELECT page_id, emotion FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, emotion) AS r FROM often) WHERE r = 1),
+score AS (SELECT page_id, avg(confidence) AS s FROM felt GROUP BY 1), named AS (SELECT date, entity, count(*) AS n FROM ner GROUP BY ALL),
+top AS (SELECT date, entity FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, entity) AS r FROM named) WHERE r = 1), total AS (SELECT date, CAST(sum(n) AS BIGINT) AS n FROM named GROUP BY 1),
+pictures AS (SELECT DISTINCT source_image FROM pairs WHERE source_image IS NOT NULL), seen AS (SELECT DISTINCT page_id FROM pages JOIN pictures ON contains(source_image, page_id))
+SELECT page_id, pages.date, 'a/' || page_id || '.jpg' AS image_file, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE CAST(doc_id % 5 AS INT) END AS total_detections, seen.page_id IS NOT NULL AS has_picture, coalesce(mood.emotion, 'unknown') AS dominant_emotion,
+round(coalesce(s, 0), 9) AS emotion_score, coalesce(total.n, 0) AS entity_count, top.entity AS top_entity
+FROM pages LEFT JOIN mood USING (page_id) LEFT JOIN score USING (page_id) LEFT JOIN total ON total.date = pages.date LEFT JOIN top ON top.date = pages.date LEFT JOIN seen USING (page_id)""")
 def j15(spark, sf_dir):
-    # two emotions per page, as many times: the lesser name counts
-    page = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("page_id")
-    felt = docs(spark, sf_dir).select(page, F.explode(F.array(F.struct(F.col("lang").alias("emotion"), F.lit(0.25).alias("confidence")), F.struct(F.col("source").alias("emotion"), F.lit(0.75).alias("confidence")))).alias("e")).select("page_id", "e.*")
-    return explore.multimodal_index(V.layouts(spark, sf_dir), felt, V.ner(spark, sf_dir), V.pairs(spark, sf_dir))
+    rows = V.lines(spark, sf_dir).where("lang <> 'de'")
+    felt = rows.select(F.concat(F.lit("p"), "text_block_id").alias("page_id"), F.when(F.col("y") % 3 == 0, F.col("lang")).otherwise(F.substring("text", 1, 1)).alias("emotion"), (F.col("y") % 4 / 4.0).alias("confidence"))
+    number = F.regexp_extract("image_file", r"(\d+)", 1).cast("int")
+    pages = V.layouts(spark, sf_dir).withColumn("date", F.when(number % 4 > 0, F.col("date"))).withColumn("total_detections", F.when(number % 5 > 0, number % 5))
+    return explore.multimodal_index(pages, felt, V.ner(spark, sf_dir), V.pairs(spark, sf_dir)).withColumn("emotion_score", F.round("emotion_score", 9))
 
 
 @on_lines("f12_type_ignoring_case", "SELECT line_id, entity_text FROM ea WHERE lower(entity_type) = lower('PERSON')", V.ENTITIES_A)
@@ -821,3 +828,110 @@ def a30(spark, sf_dir):
     from ..sources.images import validation_summary
 
     return validation_summary(V.lines(spark, sf_dir).select((F.length("text") >= 50).alias("is_valid")))
+
+
+# -- parsers of pages and issues, readers and writers of files ----------------------------------------------------------
+
+NAMED = """, p AS (SELECT lines.*, CAST(text_block_id AS BIGINT) AS doc, strftime(date, '%Y-%m-%d') AS d FROM lines),
+q AS (SELECT *, '3074409X_' || d || '_000_' || (doc + 1) || '_H_1_00' || (doc % 7 + 1) || '.xml' AS file, d || '_' || lpad(CAST(doc + 1 AS VARCHAR), CAST(greatest(3, length(CAST(doc + 1 AS VARCHAR))) AS INT), '0') || '_H_1_00' || (doc % 7 + 1) AS page FROM p)
+"""
+
+
+@on_lines("s5_page_lines", NAMED + r"SELECT file || '_b_l' || y AS line_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, page || '_b' AS text_block_id, page AS page_id, date, x, y, CAST(doc + 1 AS INT) AS issue_number, CASE WHEN doc % 2 = 0 THEN CAST(doc % 9 AS INT) END AS page_count, CASE WHEN doc % 2 = 0 THEN source END AS newspaper_title FROM q")
+def s5(spark, sf_dir):
+    from ..sources import xml
+
+    rows = xml.with_metadata(xml.raw_lines(V.page_files(spark, sf_dir).select("path", "content")), xml.scan_issues(V.issue_files(spark, sf_dir).select("path", "content")))
+    return rows.select("line_id", "text", "text_block_id", "page_id", "date", "x", "y", "issue_number", "page_count", "newspaper_title")
+
+
+ISSUE = "SELECT doc_id, strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') AS d, source FROM documents WHERE doc_id % 2 = 0"
+
+
+@entry("s7_issue_metadata", f"SELECT '3074409X_' || d || '_000_' || (doc_id + 1) || '_H_1.xml' AS filename, CAST(d AS TIMESTAMP) AS date, CAST(doc_id AS INT) AS issue_number, CAST(doc_id % 9 AS INT) AS page_count, source AS newspaper_title FROM ({ISSUE})")
+def s7(spark, sf_dir):
+    from ..sources import xml
+
+    return xml.scan_issues(V.issue_files(spark, sf_dir).select("path", "content")).select("filename", "date", "issue_number", "page_count", "newspaper_title")
+
+
+@entry("s9_issue_pictures", f"SELECT 'F' || i AS file_id, 'http://h/' || doc_id || CASE i WHEN 1 THEN '_1.jpg?x=1' ELSE '_2' END AS url, CASE i WHEN 1 THEN 'image/jpeg' ELSE 'image/tiff' END AS mimetype, '.jpg' AS extension FROM ({ISSUE}), (VALUES (1), (2)) v(i)")
+def s9(spark, sf_dir):
+    from ..sources import xml
+
+    return xml.scan_images(V.issue_files(spark, sf_dir).select("path", "content")).drop("path")
+
+
+@on_lines("s26_page_blocks", r""", b AS (SELECT date, string_agg(regexp_replace(text, '[\t\r]', ' ', 'g'), chr(10) ORDER BY y) AS t FROM lines GROUP BY date, text_block_id)
+SELECT strftime(date, '%Y-%m-%d') || '-i01' AS uid, regexp_replace(t, '^\s+|\s+$', '', 'g') AS text FROM b""")
+def s26(spark, sf_dir):
+    from ..sources import xml
+
+    return xml.scan_blocks(V.page_files(spark, sf_dir).select("path", "content")).select("uid", "text")
+
+
+def shared(spark: SparkSession, kind: str) -> str:
+    """A new folder below spark.checkpoint.dir, or, in local mode alone, below a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not (spark.conf.get("spark.master", None) or "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or 'file://' + tempfile.gettempdir() + '/broadsheet').rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+@entry("k1_parquet_by_language", "SELECT doc_id, lang, source FROM documents WHERE lang = 'de'")
+def k1(spark, sf_dir):
+    from ..sources import tables
+
+    path = shared(spark, "k1")
+    tables.write_parquet(docs(spark, sf_dir).select("doc_id", "lang", "source"), path, ("lang",), ("doc_id",))
+    return tables.partitioned(spark, path).where("lang = 'de'").select("doc_id", "lang", "source")
+
+
+@entry("k4_s14_csv_round_trip", "SELECT doc_id, source, text FROM documents WHERE text IS NOT NULL AND text <> ''")
+def k4(spark, sf_dir):
+    from ..sources import tables
+
+    path = shared(spark, "k4")
+    rows = docs(spark, sf_dir).where("text <> ''").select("text", "source", "doc_id")
+    rows.write.option("escape", '"').csv(path, header=True)
+    return tables.union_csv(spark, path, "doc_id bigint, source string, text string")  # by the header's names
+
+
+@on_lines("k3_s13_grouped_json", "SELECT line_id, entity_type, array_to_string(list_sort(list(DISTINCT lower(entity_text))), ',') AS texts FROM ea GROUP BY ALL", V.ENTITIES_A)
+def k3(spark, sf_dir):
+    from ..sources import tables
+
+    path = shared(spark, "k3")
+    tables.write_grouped_json(A(spark, sf_dir), path)
+    rows = spark.read.schema("line_id string, entities map<string,array<string>>").json(path).select("line_id", F.explode("entities").alias("entity_type", "t"))
+    return rows.where(F.size("t") > 0).select("line_id", "entity_type", F.array_join("t", ",").alias("texts"))
+
+
+@entry("k2_stored_result", "SELECT 'labels' AS analysis_type, 'rules' AS method_type, count(*) AS line_count FROM labels")
+def k2(spark, sf_dir):
+    from ..sources import tables
+
+    path = shared(spark, "k2")
+    tables.write_result(V.table(spark, sf_dir, "labels"), path, "labels", "rules", "v1", "test")
+    return spark.read.schema("analysis_type string, method_type string, line_count long").json(f"{path}/metadata").select("analysis_type", "method_type", "line_count")
+
+
+@on_lines("j18_methods_side_by_side", ", a AS (SELECT DISTINCT line_id FROM ea), b AS (SELECT DISTINCT line_id FROM eb) SELECT (SELECT count(*) FROM a JOIN b USING (line_id)) AS both_methods, (SELECT count(*) FROM a ANTI JOIN b USING (line_id)) AS first_only, (SELECT count(*) FROM ea) AS n_first, (SELECT count(*) FROM eb) AS n_second", V.ENTITIES_A, V.ENTITIES_B)
+def j18(spark, sf_dir):
+    engine = QueryEngine(spark, lines=V.lines(spark, sf_dir), entities={"a": A(spark, sf_dir), "b": B(spark, sf_dir)})
+    both = engine.compare("a", "b")
+    counts = both["statistics"].groupBy().pivot("method", ["a", "b"]).agg(F.first("total_entities"))
+    one = both["coverage"].select(F.lit(1).alias("k"), "both_methods", F.col("llm_only").alias("first_only"))
+    return one.join(counts.select(F.lit(1).alias("k"), F.col("a").alias("n_first"), F.col("b").alias("n_second")), "k").drop("k")  # one row each
+
+
+@on_lines("k8_file_report", "SELECT DISTINCT filename AS value FROM lines")
+def k8(spark, sf_dir):
+    from ..sources import tables
+
+    path = shared(spark, "k8")
+    tables.write_report(V.lines(spark, sf_dir).select("filename").distinct(), path, "filename")
+    return spark.read.text(path)

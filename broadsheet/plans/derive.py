@@ -88,20 +88,24 @@ def with_(*ctes: str) -> str:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture-caption pair per document: dated names but for each seventh, confidences but for each fifth."""
+    """Picture-caption pairs: one per document with its whole text, and one without a text or with a blank one.
+
+    Dated names but for each seventh, confidences but for each fifth, pictures for each third.
+    """
     day = F.expr("date_format(date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int)), 'yyyy-MM-dd')")
     box = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("doc_id") % 50).cast("double").alias("x2"), (F.col("doc_id") % 30).cast("double").alias("y2"), (F.col("doc_id") % 50).cast("double").alias("width"), (F.col("doc_id") % 30).cast("double").alias("height"))
-    said = F.when(F.col("doc_id") % 4 == 1, " ").when(F.col("doc_id") % 4 > 1, F.substring("text", 1, 80))
-    return table(spark, sf_dir, "documents").select(
-        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("odd"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("N_"), day, F.lit("_"), F.col("doc_id").cast("string"))).alias("fulltext_basename"),
+    said = F.when(F.col("kind") == 0, F.col("text")).when(F.col("doc_id") % 2 == 1, " ")
+    return table(spark, sf_dir, "documents").withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("odd"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("N_"), day, F.lit("_"), F.col("doc_id").cast("string"), F.when(F.col("kind") == 1, "b").otherwise(""))).alias("fulltext_basename"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("img/p"), F.col("doc_id").cast("string"), F.lit(".jpg"))).alias("source_image"),
         F.concat(F.lit("a/p"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("source_fulltext"),
         F.struct(F.when(F.col("doc_id") % 5 > 0, (F.col("doc_id") % 100) / 100.0).alias("confidence"), box.alias("bbox")).alias("picture"), F.struct(said.alias("text_content")).alias("caption"), "source",
     )
 
 
 def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of a page per document: a text, and a picture and a title on even pages."""
-    one = lambda c, p, x: f"named_struct('class', '{c}', 'confidence', {p}D, 'bbox', named_struct('x1', {x}D, 'y1', 0D, 'x2', {x + 10}D, 'y2', 10D), 'text_content', substring(text, 1, 20))"
+    """Detections of a page per document, each with its whole text: a text, and a picture and a title on even pages."""
+    one = lambda c, p, x: f"named_struct('class', '{c}', 'confidence', {p}D, 'bbox', named_struct('x1', {x}D, 'y1', 0D, 'x2', {x + 10}D, 'y2', 10D), 'text_content', text)"
     kind = "array<struct<class:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text_content:string>>"
     made = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN array({one('Picture', 0.75, 0)}, {one('Text', 0.25, 10)}, {one('Title', 0.5, 20)}) ELSE array({one('Text', 0.25, 5)}) END").cast(kind)
     day = F.expr("date_format(date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int)), 'yyyy-MM-dd')")
@@ -117,7 +121,44 @@ def ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("entity_text").alias("entity"), F.col("entity_type").alias("type"))
 
 
-PAIRS = """pairs AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'odd' || doc_id ELSE 'N_' || strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') || '_' || doc_id END AS fulltext_basename,
-  CASE WHEN doc_id % 7 > 0 THEN CAST(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT) AS TIMESTAMP) END AS date, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 100) / 100.0 END AS confidence,
-  CAST(doc_id % 50 AS DOUBLE) * CAST(doc_id % 30 AS DOUBLE) AS area, CASE WHEN doc_id % 4 = 1 THEN ' ' WHEN doc_id % 4 > 1 THEN substr(text, 1, 80) END AS caption, source, doc_id FROM documents)"""
+PAIRS = """pairs AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'odd' || doc_id ELSE 'N_' || strftime(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT), '%Y-%m-%d') || '_' || doc_id || CASE kind WHEN 1 THEN 'b' ELSE '' END END AS fulltext_basename,
+  CASE WHEN doc_id % 3 = 0 THEN 'img/p' || doc_id || '.jpg' END AS source_image, CASE WHEN doc_id % 7 > 0 THEN CAST(DATE '1900-01-01' + CAST(doc_id * 37 % 7670 AS INT) AS TIMESTAMP) END AS date, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 100) / 100.0 END AS confidence,
+  CAST(doc_id % 50 AS DOUBLE) * CAST(doc_id % 30 AS DOUBLE) AS area, CASE WHEN kind = 0 THEN text WHEN doc_id % 2 = 1 THEN ' ' END AS caption, source, doc_id FROM documents, (VALUES (0), (1)) k(kind))"""
 NER = "ner AS (SELECT strftime(date, '%Y-%m-%d') AS date, entity_text AS entity, entity_type AS type FROM eb JOIN lines USING (line_id))"
+
+
+# -- page and issue files rendered from documents, for the parsers
+
+XML_NAME = "3074409X_%s_000_%d_H_1_%03d.xml"
+
+
+def escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a page file per document, a line element per line, in folders of the documents' days."""
+    day = F.expr("date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int))")
+    kept = F.filter(F.transform(F.split("text", "\n"), lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: F.trim(x["l"]) != "")
+    each = F.transform(kept, lambda x: F.concat(F.lit('<TextLine ID="l'), x["i"].cast("string"), F.lit('" HPOS="'), (x["i"] % 3).cast("string"), F.lit('.7" VPOS="'), x["i"].cast("string"), F.lit('"><String CONTENT="'), escaped(x["l"]), F.lit('"/></TextLine>')))
+    made = F.concat(F.lit('<alto xmlns="urn:alto"><Layout><Page><PrintSpace><TextBlock ID="b">'), F.array_join(each, ""), F.lit("</TextBlock></PrintSpace></Page></Layout></alto>"))
+    folder = F.concat(F.lit("/d/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/01/fulltext/"))
+    name = F.format_string(XML_NAME, F.date_format(day, "yyyy-MM-dd"), F.col("doc_id") + 1, (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(folder, name).alias("path"), made.cast("binary").alias("content"))
+
+
+def issue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a metadata file for each page of an even document, with two pictures of the full size."""
+    day = F.expr("date_add(date'1900-01-01', cast(doc_id * 37 % 7670 AS int))")
+    name = F.format_string("3074409X_%s_000_%d_H_1.xml", F.date_format(day, "yyyy-MM-dd"), F.col("doc_id") + 1)
+    number = F.col("doc_id").cast("string")
+    made = F.concat(
+        F.lit('<mets xmlns="urn:m" xmlns:x="urn:x"><dateIssued encoding="iso8601">'), F.date_format(day, "yyyy-MM-dd"), F.lit('</dateIssued><detail type="issue"><number>Nr. '), number,
+        F.lit('</number></detail><physicalDescription><extent>'), (F.col("doc_id") % 9).cast("string"), F.lit(' Seiten</extent></physicalDescription><relatedItem type="host"><title>'), F.col("source"),
+        F.lit('</title></relatedItem><fileGrp USE="MAX">'), *(F.concat(F.lit(f'<file ID="F{i}" MIMETYPE="image/{kind}"><FLocat x:href="http://h/'), number, F.lit(f'_{i}{end}"/></file>')) for i, kind, end in ((1, "jpeg", ".jpg?x=1"), (2, "tiff", ""))),
+        F.lit('</fileGrp><fileGrp USE="MIN"><file ID="no"><FLocat x:href="http://h/no.jpg"/></file></fileGrp></mets>'),
+    )
+    folder = F.concat(F.lit("/d/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/01/"))
+    return table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.concat(folder, name).alias("path"), made.cast("binary").alias("content"))

@@ -1,7 +1,9 @@
-"""Query façade over Spark SQL: views, bound parameters, canned queries.  Results are lazy DataFrames."""
+"""Query façade over Spark SQL: named tables, bound parameters, canned queries.  Results are lazy DataFrames."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,48 +12,52 @@ from ..sources import tables
 from ..sources.registry import Registry
 
 
+_ANALYSIS = threading.RLock()
+
+
 class QueryEngine:
-    """Views ``source_lines`` and ``lines`` of a source, ``entities`` and ``entities_<method>``, ``topics``.
+    """Tables ``source_lines`` and ``lines`` of a source, ``entities`` and ``entities_<method>``, ``topics``.
 
-    Tables are given as DataFrames, or found by name through a registry.  ``database`` makes results of ``save`` catalog
-    tables of that name space; without it they are temporary views.
+    Tables are given as DataFrames, or found by name through a registry.  They belong to the engine: their names are
+    views only while ``query`` has a statement analysed, so engines of one session don't see each other's.  ``database``
+    makes results of ``save`` catalog tables of that name space; without it they are tables of the engine.
     """
 
     def __init__(self, spark: SparkSession, source: str | None = None, lines: DataFrame | None = None, entities: dict[str, DataFrame] | None = None, topics: DataFrame | None = None, registry: Registry | None = None, database: str | None = None) -> None:
         self.spark, self.source, self.database = spark, source, database
         self.registry = registry or Registry()
         self.methods: dict[str, DataFrame] = {}
-        self._views: list[str] = []
+        self.tables: dict[str, DataFrame] = {}
         if database:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        if lines is None and source is not None:
+            lines = tables.existing(spark, self.registry.paths(source)["lines"])
         if lines is not None:
-            self._view(lines, "source_lines", "lines")
-        elif source is not None and tables.source_view(spark, self.registry.paths(source)["lines"]):
-            self._views += ["source_lines", "lines"]
+            self._name(lines, "source_lines", "lines")
         for name, df in (entities or {}).items():
             self.add_entities(name, df)
         self.topics = topics
         if topics is not None:
-            self._view(topics, "topics")
+            self._name(topics, "topics")
 
-    def _view(self, df: DataFrame, *names: str) -> None:
-        for n in names:
-            df.createOrReplaceTempView(n)
-            self._views.append(n)
+    def _name(self, df: DataFrame, *names: str) -> None:
+        self.tables |= dict.fromkeys(names, df)
 
     def add_entities(self, method: str, df: DataFrame) -> None:
         """Register a method's entities; the first one is also ``entities``."""
         if "confidence" not in df.columns:
             df = df.withColumn("confidence", F.lit(None).cast("double"))
-        self._view(df, f"entities_{method}", *([] if self.methods else ["entities"]))
+        self._name(df, f"entities_{method}", *([] if self.methods else ["entities"]))
         self.methods[method] = df
 
     def add_table(self, name: str, path: str) -> None:
-        self._view(self.spark.read.parquet(path), name)
+        self._name(self.spark.read.parquet(path), name)
 
     @property
     def lines(self) -> DataFrame:
-        return self.spark.table("source_lines")
+        if "source_lines" not in self.tables:
+            raise ValueError("no lines are registered")
+        return self.tables["source_lines"]
 
     def entities(self, method: str | None = None) -> DataFrame:
         if method is None:
@@ -63,7 +69,19 @@ class QueryEngine:
         return self.methods[method]
 
     def query(self, sql: str, params: list | None = None) -> DataFrame:
-        return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
+        """The statement over this engine's tables; views of the session by the same names are hidden and come back."""
+        with _ANALYSIS:
+            hidden = {v.name: self.spark.table(v.name) for v in self.spark.catalog.listTables() if v.isTemporary and v.name in self.tables}
+            try:
+                for name, df in self.tables.items():
+                    df.createOrReplaceTempView(name)
+                return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
+            finally:
+                for name in self.tables:
+                    if name in hidden:
+                        hidden[name].createOrReplaceTempView(name)
+                    else:
+                        self.spark.catalog.dropTempView(name)
 
     def get_line(self, line_id: str) -> dict | None:
         row = self.lines.where(F.col("line_id") == line_id).first()
@@ -104,12 +122,11 @@ class QueryEngine:
         if self.database:
             df.write.mode("overwrite").saveAsTable(f"`{self.database}`.`{name}`")
         else:
-            self._view(df, name)
+            self._name(df, name)
 
     def close(self) -> None:
-        for v in self._views:
-            self.spark.catalog.dropTempView(v)
-        self._views.clear()
+        self.tables.clear()
+        self.methods.clear()
 
     def __enter__(self) -> QueryEngine:
         return self

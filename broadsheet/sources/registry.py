@@ -42,7 +42,8 @@ class Registry:
     def paths(self, name: str) -> dict[str, str]:
         return {
             "raw": str(self.data_root / "raw" / name), "lines": str(self.data_root / "raw" / name / "text" / f"{name}_lines.parquet"),
-            "blocks": str(self.data_root / "raw" / name / "text" / "textblocks.parquet"), "images": str(self.data_root / "raw" / name / "images"), "results": str(self.results_root / name),
+            "blocks": str(self.data_root / "raw" / name / "text" / "textblocks.parquet"), "images": str(self.data_root / "raw" / name / "images"),
+            "ledger": str(self.data_root / "raw" / name / "text" / "read_files.parquet"), "downloads": str(self.data_root / "downloads" / name), "results": str(self.results_root / name),
         }
 
     def extraction_status(self, name: str, years: set[int]) -> dict[str, bool]:

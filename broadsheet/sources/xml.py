@@ -148,6 +148,14 @@ def files(spark: SparkSession, paths: str | list[str], limit: int | None = None,
     return found
 
 
+def pending(spark: SparkSession, root: str | list[str], seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """path and filename of the page files whose name isn't in ``seen`` (column filename), the first ``limit`` in natural order."""
+    rows = listing(spark, root, "*.xml").where(F.col("path").rlike(r"/fulltext/[^/]+\.xml$")).select("path", "filename")
+    if seen is not None:
+        rows = rows.join(seen.select("filename").distinct(), "filename", "left_anti").select("path", "filename")
+    return rows if limit is None else rows.orderBy(D.natural_key(F.col("path")), "path").limit(limit)
+
+
 def raw_lines(found: DataFrame) -> DataFrame:
     def parse(path: str, content: bytes) -> list[tuple]:
         return [(path, PurePosixPath(path).name, *row, i) for i, row in enumerate(alto_lines(content))]
@@ -199,12 +207,16 @@ def with_metadata(rows: DataFrame, issues: DataFrame | None) -> DataFrame:
     )
 
 
-def scan_lines(spark: SparkSession, root: str | list[str], limit: int | None = None, seen: DataFrame | None = None, issues: bool = True) -> DataFrame:
-    """All lines below ``root``; files whose name is in ``seen`` (column filename) are left out before they are read."""
-    found = files(spark, root, limit)
-    if seen is not None:
-        name = F.regexp_extract("path", r"([^/]+)$", 1)
-        found = found.join(seen.select(F.col("filename").alias("_seen")).distinct(), name == F.col("_seen"), "left_anti")
+def scan_lines(spark: SparkSession, root: str | list[str], limit: int | None = None, seen: DataFrame | None = None, issues: bool = True, chosen: DataFrame | None = None) -> DataFrame:
+    """All lines below ``root``, or those of the ``chosen`` files (column path).
+
+    Files whose name is in ``seen`` (column filename) are left out first, then the first ``limit`` of the others are taken.
+    """
+    found = files(spark, root)
+    if chosen is None and (seen is not None or limit is not None):
+        chosen = pending(spark, root, seen, limit)
+    if chosen is not None:
+        found = found.join(chosen.select("path"), "path", "left_semi")
     metadata = scan_issues(files(spark, root, fulltext=False)) if issues else None
     return with_metadata(raw_lines(found), metadata)
 

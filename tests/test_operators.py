@@ -247,9 +247,36 @@ def test_layouts(spark):
     assert len(explore.selected_classes(rows, ["Text"]).first()["detections"]) == 2
     emotion = spark.createDataFrame([("p1", "joy", 0.5), ("p1", "anger", 0.7)], "page_id string, emotion string, confidence double")
     ner = spark.createDataFrame([("d", "x")], "date string, entity string")
-    pairs = spark.createDataFrame([("a/p1.xml",)], "source_fulltext string")
-    got = {x.page_id: (x.text_regions, x.pictures, x.dominant_emotion, x.entities, x.captions) for x in explore.multimodal_index(rows, emotion, ner, pairs).collect()}
-    assert got == {"p1": (2, 1, "anger", 1, 1), "p2": (0, 0, None, 1, 0)}
+    pairs = spark.createDataFrame([("img/p1_crop.jpg",), ("img/p1_crop.jpg",), (None,), ("",)], "source_image string")
+    got = {x.page_id: (x.date, x.has_picture, x.dominant_emotion, round(x.emotion_score, 6), x.entity_count, x.top_entity) for x in explore.multimodal_index(rows, emotion, ner, pairs).collect()}
+    assert got == {"p1": ("d", True, "anger", 0.6, 1, "x"), "p2": ("d", False, "unknown", 0.0, 1, "x")}
+    undated = rows.withColumn("date", F.lit(None).cast("string")).withColumn("image_file", F.lit("a/N_1901-02-03_7.jpg"))
+    r = explore.multimodal_index(undated, emotion, ner, pairs).first()
+    assert (r.page_id, r.date, r.entity_count, r.top_entity) == ("N_1901-02-03_7", "1901-02-03", 0, None)
+
+
+def test_containing(frame):
+    texts = frame("k int, t string", (1, "abcdefgh abcdefgh"), (2, "xabcdeyz"), (3, "b"), (4, ""), (5, None))
+    long = "".join(chr(97 + i * i % 26) for i in range(90))
+    texts = texts.union(frame("k int, t string", (6, f"x {long} y"), (7, long[:70])))
+    names = [long, long[:70], long[5:80], "a", "ab", "abc", "abcde", "abcdef", "abcdefgh a", "h a", "yz", "b", "zz", "abcdefgi"]
+    got = sorted((r.k, r.n) for r in explore.containing(texts, "k", "t", frame("n string", *((n,) for n in names)), "n").collect())
+    assert got == sorted((k, n) for k, t in ((1, "abcdefgh abcdefgh"), (2, "xabcdeyz"), (3, "b"), (6, f"x {long} y"), (7, long[:70])) for n in names if n in t)
+
+
+def test_engines_of_one_session(spark, frame):
+    schema = "line_id string, text string, date timestamp"
+    one, two = (frame(schema, (i, f"hello {i}", None)) for i in "ab")
+    frame("line_id string", ("own",)).createOrReplaceTempView("lines")
+    a, b = QueryEngine(spark, lines=one), QueryEngine(spark, lines=two)
+    later = a.query("SELECT line_id FROM lines")
+    assert [r.line_id for r in a.search_text("hello").collect()] == ["a"] and b.query("SELECT line_id FROM lines").first()[0] == "b"
+    b.close()
+    assert a.get_line("a")["text"] == "hello a" and a.get_line("b") is None and later.first()[0] == "a"
+    assert spark.table("lines").first()[0] == "own"
+    spark.catalog.dropTempView("lines")
+    with pytest.raises(ValueError, match="lines"):
+        b.search_text("x")
 
 
 def test_engine(spark, frame):

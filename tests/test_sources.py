@@ -132,6 +132,19 @@ def test_json_and_csv(spark, tmp_path):
     assert tuple(tables.page_texts(spark, str(tmp_path / "pages")).first()) == ("1901-02-15", "415", 9, "Text")
 
 
+def test_csv_by_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("b,a\n1,one\nx,two\n")
+    assert sorted(map(tuple, tables.csv(spark, str(tmp_path / "x.csv"), "a string, b int").collect()), key=str) == [("one", 1), ("two", None)]
+    with pytest.raises(ValueError, match="missing columns: c"):
+        tables.csv(spark, str(tmp_path / "x.csv"), "a string, c int")
+    (tmp_path / "y.csv").write_text('a,b,extra\n"th, ""ree""\nlines",3,q\nshort,4\n')
+    (tmp_path / "z.csv").write_bytes(b"a,b\n\xff\xfe,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sorted(map(tuple, tables.union_csv(spark, str(tmp_path), "a string, b int").collect()))
+    assert got == [("one", 1), ('th, "ree"\nlines', 3)]
+    assert sorted((r.path.rsplit("/", 1)[1], r.place) for r in tables.misfits(spark, str(tmp_path), "a string, b int").collect()) == [("x.csv", 2), ("y.csv", 2), ("z.csv", 0)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1", 1901, "a"), ("2", 1902, "b")], "id string, year int, text string")
     tables.write_parquet(df, str(tmp_path / "p"), ("year",), ("id",))
@@ -206,3 +219,41 @@ def test_cli(spark, archive, capsys):
     assert main([*base, "analyze", "extract-entities", "--source", "s", "--min-length", "5"]) == 0
     with pytest.raises(SystemExit):
         parser().parse_args(["data", "parse"])
+
+
+def test_cli_downloads(archive, capsys):
+    import tarfile
+
+    (archive / "sources").mkdir()
+    made = archive / "made.tar.gz"
+    with tarfile.open(made, "w:gz") as tar:
+        tar.add(archive / "raw" / "1901", arcname="around/1901")
+    parts = [{"name": "p", "url": made.as_uri(), "md5": hashlib.md5(made.read_bytes()).hexdigest()}, {"name": "q", "url": (archive / "none").as_uri()}]
+    (archive / "sources" / "s.json").write_text(json.dumps({"dataset_name": "s", "parts": parts}))
+    base = ["--data-dir", str(archive), "data"]
+    assert main([*base, "sources"]) == 0 and capsys.readouterr().out.startswith("s")
+    assert main([*base, "download", "--source", "s", "--part", "p"]) == 0 and "p downloaded" in capsys.readouterr().out
+    assert main([*base, "download", "--source", "s"]) == 1 and "p present\nq failed" in capsys.readouterr().out
+    assert main([*base, "unpack", "--source", "s", "--part", "p", "--fix", "1901/02/15/01", "1902/02/15/01"]) == 0
+    assert (archive / "raw" / "s" / "1902" / "02" / "15" / "01").is_dir() and main([*base, "unpack", "--source", "s"]) == 1
+    with pytest.raises(SystemExit, match="unknown part"):
+        main([*base, "download", "--source", "s", "--part", "x"])
+
+
+def test_cli_reads_files_once(spark, archive, monkeypatch, capsys):
+    (archive / "sources").mkdir()
+    (archive / "sources" / "s.json").write_text(json.dumps({"dataset_name": "s"}))
+    (archive / "raw").rename(archive / "xml")
+    (archive / "raw").mkdir()
+    (archive / "xml").rename(archive / "raw" / "s")
+    base, paths = ["--data-dir", str(archive), "data"], Registry(str(archive)).paths("s")
+    names = lambda: sorted(r.filename[-7:] for r in spark.read.parquet(paths["ledger"]).collect())
+    assert main([*base, "parse", "--source", "s", "--limit", "1"]) == 0 and names() == ["001.xml"]
+    assert main([*base, "parse", "--source", "s", "--limit", "1"]) == 0 and names() == ["001.xml", "002.xml"]  # the cap counts new files
+    assert main([*base, "parse", "--source", "s"]) == 0 and names() == ["001.xml", "002.xml", "010.xml"]
+    assert main([*base, "parse", "--source", "s"]) == 0 and names() == ["001.xml", "002.xml", "010.xml"]  # files without text aren't read again
+    assert spark.read.parquet(paths["lines"]).count() == 2
+    got = []
+    monkeypatch.setattr("broadsheet.sources.download.fetch_all", lambda jobs, workers: got.extend(jobs) or {"total": len(got)})
+    assert main([*base, "download-images", "--source", "s"]) == 0 and [u for u, _ in got] == ["http://x/a.jpg", "http://x/b"]
+    assert all(t.startswith(paths["images"]) for _, t in got)
