@@ -1,14 +1,18 @@
-"""Non-parametric statistics and outliers per group, as windows and grouped aggregates."""
+"""Non-parametric statistics and outliers per group. A key (there may be few) is never sorted or held by one task."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAD_SCALE = 1.4826
 VARIANCE_FLOOR = 1e-12
+PIECES = 512  # ranges that a key's values are cut into for ranks and quantiles
+QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 
 
 def unpivoted(wide: DataFrame, prefix: str = "mean_", keep=("id", "year", "era1", "era2")) -> DataFrame:
@@ -18,24 +22,80 @@ def unpivoted(wide: DataFrame, prefix: str = "mean_", keep=("id", "year", "era1"
     return wide.unpivot(ids, columns, "emotion", "value").withColumn("emotion", F.expr(f"substring(emotion, {len(prefix) + 1})"))
 
 
+def _joined(left: DataFrame, right: DataFrame, by) -> DataFrame:
+    """Left join on columns that may be null (null equals null)."""
+    named = right.select(*(F.col(c).alias(f"_of_{c}") if c in by else F.col(c) for c in right.columns))
+    on = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by), F.lit(True))
+    return left.join(named, on, "left").drop(*(f"_of_{c}" for c in by))
+
+
+def _pieces(df: DataFrame, rows: DataFrame, value: str, by) -> DataFrame:
+    """``rows`` with _piece: which of at most PIECES + 1 ranges of its key's values in ``df`` a value lies in.
+
+    The ranges are cut at the values of least hash in each of PIECES classes: a uniform sample of the different values,
+    which combines before the shuffle, doesn't depend on the order of rows, and is an array of bounded length per key.
+    """
+    h = F.xxhash64(value)
+    least = df.where(F.col(value).isNotNull()).groupBy(*by, F.pmod(h, F.lit(PIECES)).alias("_class")).agg(F.min_by(value, h).alias("_least"))
+    cuts = least.groupBy(*by).agg(F.array_sort(F.collect_list("_least")).alias("_cuts"))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(PIECES.bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at))  # binary search
+    return _joined(rows, cuts, by).withColumn("_piece", below).drop("_cuts")
+
+
+def _before(pieces: DataFrame, by, running: dict[str, str]) -> DataFrame:
+    """Per key and piece, from sums that run within a piece (``running``: sum -> name): what lies in the pieces before.
+
+    Reads the same shuffle as the running sums, so that both see the same rows.
+    """
+    totals = pieces.groupBy(*by, "_piece").agg(*(F.max(c).alias(n) for c, n in running.items()))
+    earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*by, "_piece", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in running.values()))
+
+
+def cumulated(df: DataFrame, value: str, by, counts: dict[str, Column]) -> DataFrame:
+    """A row per key and different value: the ``counts`` (aggregates of rows, by name) and, as <name>_before, their sums over all smaller values.
+
+    Rows are counted per value first; the sums run over ranges of values (see _pieces), so that no task holds a key.
+    """
+    counted = _pieces(df, df.groupBy(*by, value).agg(*(c.alias(n) for n, c in counts.items())), value, by)
+    inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counted.select("*", *(F.sum(n).over(inside).alias(f"_run_{n}") for n in counts))
+    out = _joined(run, _before(run, by, {f"_run_{n}": f"_first_{n}" for n in counts}), [*by, "_piece"])
+    return out.select(*by, value, *counts, *((F.coalesce(f"_first_{n}", F.lit(0)) + F.col(f"_run_{n}") - F.col(n)).alias(f"{n}_before") for n in counts))
+
+
 def average_rank(df: DataFrame, value: str = "value", by=("emotion",), out: str = "avg_rank") -> DataFrame:
-    """Ranks from 1; ties get the mean of their ranks."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(out, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    """Ranks from 1 (nulls first); ties get the mean of their ranks. Equal values meet in one task, a key's don't."""
+    rows = _pieces(df, df, value, by)
+    order = Window.partitionBy(*by, "_piece").orderBy(value)
+    run = rows.select("*", F.rank().over(order).alias("_rank"), F.count(F.lit(1)).over(order).alias("_upto"))
+    ranked = _joined(run, _before(run, by, {"_upto": "_first"}), [*by, "_piece"])
+    mean = F.coalesce("_first", F.lit(0)) + (F.col("_rank") + F.col("_upto")) / 2
+    return ranked.withColumn(out, mean).drop("_piece", "_rank", "_upto", "_first")
 
 
-def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str = "value", by=("emotion",), with_p: bool = True) -> DataFrame:
-    """Per key: n1, n2, u1, z, p (two-sided, with tie and continuity correction) and Cliff's delta.
+def mann_whitney_pairs(df: DataFrame, group: str, pairs, value: str = "value", by=("emotion",), with_p: bool = True) -> DataFrame:
+    """A row per key and pair of groups (first, second; pair: its place in ``pairs``) with values in either of them.
 
-    Where one side is empty: u1 and delta 0, p 1.
+    n1, n2, u1, z, p (two-sided, with tie and continuity correction) and Cliff's delta. Where one side is empty: u1 and
+    delta 0, p 1. All pairs come from one table of counts per value.
     """
-    both = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
-    ranked = average_rank(both, value, by)
-    ties = both.groupBy(*by, value).agg(F.count(F.lit(1)).alias("t")).groupBy(*by).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    one = F.col(group) == first
-    sums = ranked.groupBy(*by).agg(F.count(F.when(one, 1)).alias("n1"), F.count(F.when(~one, 1)).alias("n2"), F.coalesce(F.sum(F.when(one, F.col("avg_rank"))), F.lit(0.0)).alias("r1"))
-    out = sums.join(ties, list(by))
+    at = {g: f"_n{i}" for i, g in enumerate(dict.fromkeys(g for pair in pairs for g in pair))}
+    rows = df.where(F.col(group).isin(*at) & F.col(value).isNotNull())
+    counted = cumulated(rows, value, by, {n: F.count(F.when(F.col(group) == g, 1)) for g, n in at.items()})
+
+    def sums(i: int, first: str, second: str) -> Column:
+        one, two = F.col(at[first]), F.col(at[second])
+        tied = (one + two).cast("double")
+        rank = F.col(f"{at[first]}_before") + F.col(f"{at[second]}_before") + (tied + 1) / 2
+        return F.struct(
+            F.lit(i).alias("pair"), F.lit(first).alias("first"), F.lit(second).alias("second"), F.sum(one).alias("n1"), F.sum(two).alias("n2"),
+            F.sum(one * rank).alias("r1"), F.sum(tied * tied * tied - tied).alias("ties"),
+        )
+
+    found = counted.groupBy(*by).agg(F.array(*(sums(i, a, b) for i, (a, b) in enumerate(pairs))).alias("_pairs"))
+    out = found.select(*by, F.inline("_pairs")).where("n1 + n2 > 0")
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     empty = (F.col("n1") == 0) | (F.col("n2") == 0)
@@ -44,12 +104,17 @@ def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str
     shift = u1 - n1 * n2 / 2
     z = F.greatest(F.abs(shift) - 0.5, F.lit(0.0)) / F.sqrt(variance)
     out = out.select(
-        *by, "n1", "n2", F.when(empty, 0.0).otherwise(u1).alias("u1"), F.when(empty, 0.0).otherwise(z).alias("z"),
+        *by, "pair", "first", "second", "n1", "n2", F.when(empty, 0.0).otherwise(u1).alias("u1"), F.when(empty, 0.0).otherwise(z).alias("z"),
         F.when(empty, 0.0).otherwise(2 * u1 / (n1 * n2) - 1).alias("cliffs_delta"),
     )
     return out.withColumn("p", F.when((F.col("n1") == 0) | (F.col("n2") == 0), 1.0).otherwise(2 * upper_tail(F.col("z")))) if with_p else out
 
 
+def mann_whitney(df: DataFrame, group: str, first: str, second: str, value: str = "value", by=("emotion",), with_p: bool = True) -> DataFrame:
+    """``mann_whitney_pairs`` of one pair."""
+    return mann_whitney_pairs(df, group, [(first, second)], value, by, with_p).drop("pair", "first", "second")
+
+
 def upper_tail(z: Column) -> Column:
     """Probability of a standard normal value beyond z >= 0, by the continued fraction or the series of erf (no UDF).
 
@@ -74,11 +139,8 @@ def upper_tail(z: Column) -> Column:
 
 def best_pair(df: DataFrame, pairs, group: str = "era1", value: str = "value", by=("emotion",)) -> DataFrame:
     """The pair of groups of least p below 1; null names where there is none."""
-    out = None
-    for i, (a, b) in enumerate(pairs):
-        rows = mann_whitney(df, group, a, b, value, by).select(*by, F.lit(i).alias("pair"), F.lit(a).alias("first"), F.lit(b).alias("second"), "u1", "p", "cliffs_delta")
-        out = rows if out is None else out.unionByName(rows)
-    ranked = out.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("p", "pair"))).where("_r = 1").drop("_r")
+    order = Window.partitionBy(*by).orderBy("p", "pair")
+    ranked = mann_whitney_pairs(df, group, pairs, value, by).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     some = F.col("p") < 1
     return ranked.select(*by, *(F.when(some, F.col(c)).alias(c) for c in ("first", "second")), "u1", "p", "cliffs_delta", nlog10(F.col("p")).alias("nlog10_p"))
 
@@ -87,13 +149,30 @@ def nlog10(p: Column) -> Column:
     return -F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300)))
 
 
+def order_statistics(df: DataFrame, levels: dict[str, float], value: str = "value", by=("emotion",)) -> DataFrame:
+    """Exact quantiles per key, interpolated between neighbours, by name; keys without values are left out."""
+    counted = cumulated(df.where(F.col(value).isNotNull()), value, by, {"_n": F.count(F.lit(1))})
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_last"))
+    rows = _joined(counted, sizes, by)
+
+    def held(place: Column) -> Column:
+        return F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col(value))).cast("double")
+
+    place = {name: F.col("_last") * F.lit(level) for name, level in levels.items()}
+    found = rows.groupBy(*by).agg(*(c for n, p in place.items() for c in (F.max(p).alias(f"_{n}_at"), held(F.floor(p)).alias(f"_{n}_low"), held(F.ceil(p)).alias(f"_{n}_high"))))
+
+    def between(n: str) -> Column:
+        at, low, high = F.col(f"_{n}_at"), F.col(f"_{n}_low"), F.col(f"_{n}_high")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return found.select(*by, *(between(n).alias(n) for n in levels))
+
+
 def outlier_scores(long: DataFrame, by=("emotion",), value: str = "value") -> DataFrame:
-    """z_mad and iqr_outlier per value; exact percentiles, interpolated."""
-    levels = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    q = long.groupBy(*by).agg(levels.alias("q"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"))
-    rows = long.join(q, list(by))
-    mad = rows.groupBy(*by).agg((F.percentile(F.abs(F.col(value) - F.col("med")), F.lit(0.5)) * MAD_SCALE).alias("mad_n"))
+    """z_mad and iqr_outlier per value; exact percentiles, interpolated. Rows of a null key are left out."""
+    rows = long.join(order_statistics(long, QUARTILES, value, by), list(by))
+    deviations = rows.select(*by, F.abs(F.col(value) - F.col("med")).alias("_deviation"))
+    mad = order_statistics(deviations, {"mad_n": 0.5}, "_deviation", by).withColumn("mad_n", F.col("mad_n") * MAD_SCALE)
     rows = rows.join(mad, list(by))
     z = F.when(F.col("mad_n") == 0, 0.0).otherwise((F.col(value) - F.col("med")) / F.col("mad_n"))
     spread = F.col("q3") - F.col("q1")
@@ -129,9 +208,10 @@ def peaks(report: DataFrame, emotion: str, n: int = 10) -> DataFrame:
 
 def quantiles(long: DataFrame, by=("emotion", "era1"), value: str = "value", digits: int = 9) -> DataFrame:
     """Quartiles, bounds and count of each box of a box plot."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = long.groupBy(*by).agg(q.alias("q"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
-    return rows.select(*by, *(F.round(F.col("q")[i], digits).alias(c) for i, c in enumerate(("q1", "median", "q3"))), F.round("low", digits).alias("low"), F.round("high", digits).alias("high"), "n")
+    rows = long.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    rows = _joined(rows, order_statistics(long, QUARTILES, value, by), by)
+    named = (("q1", "q1"), ("med", "median"), ("q3", "q3"), ("low", "low"), ("high", "high"))
+    return rows.select(*by, *(F.round(c, digits).alias(n) for c, n in named), "n")
 
 
 def summary(long: DataFrame, by=("era1", "emotion"), value: str = "value", digits: int = 9) -> DataFrame:

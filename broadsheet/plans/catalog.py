@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +70,20 @@ text_step("h1_sha256", lambda c: F.sha2(c, 256), "sha256(text)")
 text_step("h1_md5", F.md5, "md5(text)")
 
 
-@entry("p7_remove_stopwords")
+def german_stops() -> str | None:
+    """Spark's German stop list as an SQL list, read from its archive; None where that isn't beside the Python package."""
+    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
+        with zipfile.ZipFile(jar) as z:
+            words = z.read("org/apache/spark/ml/feature/stopwords/german.txt").decode().split()
+        return "['" + "','".join(sorted({w.lower() for w in words})) + "']"
+    return None
+
+
+STOPS = german_stops()
+TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\s\p{Z}]"
+
+
+@entry("p7_remove_stopwords", STOPS and f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda w: NOT list_contains({STOPS}, lower(w))), ' ') AS result FROM documents")
 def p7(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.remove_stopwords(F.col("text")).alias("result"))
 
@@ -517,10 +533,27 @@ def w2(spark, sf_dir):
     return rows.select("emotion", "n1", "n2", F.round("u1", 6).alias("u1"), F.round("cliffs_delta", 6).alias("cliffs_delta"))
 
 
-@entry("w4_best_era_pair")
+BEST = """, pairs AS (SELECT * FROM (VALUES (0, 'pre war', 'war'), (1, 'pre war', 'post war'), (2, 'war', 'post war')) v(pair, one, two)),
+r AS (SELECT pair, one, two, emotion, era1 = one AS a, rank() OVER w + (count(*) OVER (PARTITION BY pair, emotion, value) - 1) / 2 AS k, count(*) OVER (PARTITION BY pair, emotion, value) AS t
+  FROM em_long JOIN pairs ON era1 IN (one, two) WINDOW w AS (PARTITION BY pair, emotion ORDER BY value)),
+s AS (SELECT pair, one, two, emotion, CAST(count(*) FILTER (a) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT a) AS DOUBLE) AS n2, sum(k) FILTER (a) AS r1, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM r GROUP BY ALL),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) AS v FROM s WHERE n1 > 0 AND n2 > 0),
+x AS (SELECT *, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(greatest(v, 1e-12)) / sqrt(2) AS x FROM u),
+p AS (SELECT pair, one, two, emotion, u AS u1, 2 * u / (n1 * n2) - 1 AS d, CASE
+  WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 61), lambda i: (-1) ** i * x ** (2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))
+  ELSE exp(-x * x) / sqrt(pi()) / list_reduce(list_prepend(x, list_transform(range(60, 0, -1), lambda i: i / 2)), lambda f, h: x + h / f) END AS p FROM x
+  UNION ALL SELECT pair, one, two, emotion, 0, 0, 1 FROM s WHERE n1 = 0 OR n2 = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY p, pair) AS place FROM p)
+SELECT emotion, CASE WHEN p < 1 THEN one END AS first, CASE WHEN p < 1 THEN two END AS second, round(u1, 6) AS u1, round(p, 9) AS p, round(d, 6) AS cliffs_delta,
+round(-log10(greatest(least(p, 1), 1e-300)), 6) AS nlog10_p FROM b WHERE place = 1"""
+
+
+@entry("w4_best_era_pair", LONG_ + BEST)
 def w4(spark, sf_dir):
     pairs = (("pre war", "war"), ("pre war", "post war"), ("war", "post war"))
-    return statistics.best_pair(statistics.unpivoted(V.emotions(spark, sf_dir)), pairs)
+    best = statistics.best_pair(statistics.unpivoted(V.emotions(spark, sf_dir)), pairs)
+    digits = {"u1": 6, "p": 9, "cliffs_delta": 6, "nlog10_p": 6}
+    return best.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 SCORES = """, q AS (SELECT emotion, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM em_long GROUP BY 1),

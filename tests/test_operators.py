@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,6 +182,38 @@ def test_upper_tail(spark):
         assert p == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-9)
 
 
+@pytest.mark.parametrize("pieces", [1, 4, 512])
+def test_ranks_and_quantiles_in_pieces(frame, monkeypatch, pieces):
+    monkeypatch.setattr(statistics, "PIECES", pieces)
+    rng = random.Random(pieces)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.5, float(rng.randrange(9)), rng.gauss(0, 1)])) for i in range(400)]
+    df = frame("id long, emotion string, value double", *rows)
+    at = {}
+    for k in ("a", "b", None):
+        nulls = sum(x == k and v is None for _, x, v in rows)
+        values = sorted(v for _, x, v in rows if x == k and v is not None)
+        at |= {(k, v): nulls + values.index(v) + (values.count(v) + 1) / 2 for v in values} | {(k, None): (nulls + 1) / 2}
+    got = statistics.average_rank(df).collect()
+    assert len(got) == len(rows) and all(r.avg_rank == at[r.emotion, r.value] for r in got)
+    plain = df.groupBy("emotion").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()
+    boxes = {r.emotion: (r.q1, r.median, r.q3) for r in statistics.quantiles(df, ("emotion",)).collect()}
+    assert boxes == {r.emotion: tuple(round(x, 9) for x in r.q) for r in plain}
+
+
+def test_quantiles_of_a_key_without_values(frame):
+    df = frame("emotion string, value double", ("a", None), ("b", 2.0))
+    assert sorted((r.emotion, r.median, r.n) for r in statistics.quantiles(df, ("emotion",)).collect()) == [("a", None, 0), ("b", 2.0, 1)]
+    assert statistics.quantiles(df.limit(0), ("emotion",)).count() == 0 and statistics.average_rank(df.limit(0)).count() == 0
+
+
+def test_no_task_sorts_a_key(frame):
+    df = frame("id long, emotion string, value double", (1, "a", 1.0), (2, "a", 2.0))
+    for out in (statistics.average_rank(df), statistics.quantiles(df, ("emotion",)), statistics.outlier_scores(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan
+        assert not re.search(r"windowspecdefinition\(emotion#\d+, value#", plan) and re.search(r"windowspecdefinition\(emotion#\d+, _piece#\d+, (value|_deviation)#", plan)
+
+
 def test_best_pair(frame):
     rows = [("J", era, float(v + 10 * i)) for i, era in enumerate(("pre war", "war", "post war")) for v in range(8)]
     r = statistics.best_pair(frame("emotion string, era1 string, value double", *rows), (("pre war", "war"), ("pre war", "post war"))).first()
