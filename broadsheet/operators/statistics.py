@@ -44,17 +44,18 @@ def _pieces(df: DataFrame, rows: DataFrame, value: str, by) -> DataFrame:
 
 
 def _before(pieces: DataFrame, by, running: dict[str, str]) -> DataFrame:
-    """Per key and piece, from sums that run within a piece (``running``: sum -> name): what lies in the pieces before.
+    """Per key and piece, from sums that run within a piece (``running``: sum -> name): what lies in the pieces before, and (<name>_all) in all.
 
     Reads the same shuffle as the running sums, so that both see the same rows.
     """
     totals = pieces.groupBy(*by, "_piece").agg(*(F.max(c).alias(n) for c, n in running.items()))
     earlier = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*by, "_piece", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in running.values()))
+    sums = (c for n in running.values() for c in (F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n), F.sum(n).over(Window.partitionBy(*by)).alias(f"{n}_all")))
+    return totals.select(*by, "_piece", *sums)
 
 
 def cumulated(df: DataFrame, value: str, by, counts: dict[str, Column]) -> DataFrame:
-    """A row per key and different value: the ``counts`` (aggregates of rows, by name) and, as <name>_before, their sums over all smaller values.
+    """A row per key and different value: the ``counts`` (aggregates of rows, by name) and, as <name>_before and <name>_all, their sums over all smaller values and over all.
 
     Rows are counted per value first; the sums run over ranges of values (see _pieces), so that no task holds a key.
     """
@@ -62,7 +63,7 @@ def cumulated(df: DataFrame, value: str, by, counts: dict[str, Column]) -> DataF
     inside = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = counted.select("*", *(F.sum(n).over(inside).alias(f"_run_{n}") for n in counts))
     out = _joined(run, _before(run, by, {f"_run_{n}": f"_first_{n}" for n in counts}), [*by, "_piece"])
-    return out.select(*by, value, *counts, *((F.coalesce(f"_first_{n}", F.lit(0)) + F.col(f"_run_{n}") - F.col(n)).alias(f"{n}_before") for n in counts))
+    return out.select(*by, value, *counts, *(F.col(f"_first_{n}_all").alias(f"{n}_all") for n in counts), *((F.coalesce(f"_first_{n}", F.lit(0)) + F.col(f"_run_{n}") - F.col(n)).alias(f"{n}_before") for n in counts))
 
 
 def average_rank(df: DataFrame, value: str = "value", by=("emotion",), out: str = "avg_rank") -> DataFrame:
@@ -72,7 +73,7 @@ def average_rank(df: DataFrame, value: str = "value", by=("emotion",), out: str
     run = rows.select("*", F.rank().over(order).alias("_rank"), F.count(F.lit(1)).over(order).alias("_upto"))
     ranked = _joined(run, _before(run, by, {"_upto": "_first"}), [*by, "_piece"])
     mean = F.coalesce("_first", F.lit(0)) + (F.col("_rank") + F.col("_upto")) / 2
-    return ranked.withColumn(out, mean).drop("_piece", "_rank", "_upto", "_first")
+    return ranked.withColumn(out, mean).drop("_piece", "_rank", "_upto", "_first", "_first_all")
 
 
 def mann_whitney_pairs(df: DataFrame, group: str, pairs, value: str = "value", by=("emotion",), with_p: bool = True) -> DataFrame:
@@ -151,14 +152,12 @@ def nlog10(p: Column) -> Column:
 
 def order_statistics(df: DataFrame, levels: dict[str, float], value: str = "value", by=("emotion",)) -> DataFrame:
     """Exact quantiles per key, interpolated between neighbours, by name; keys without values are left out."""
-    counted = cumulated(df.where(F.col(value).isNotNull()), value, by, {"_n": F.count(F.lit(1))})
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("_last"))
-    rows = _joined(counted, sizes, by)
+    rows = cumulated(df.where(F.col(value).isNotNull()), value, by, {"_n": F.count(F.lit(1))})
 
     def held(place: Column) -> Column:
         return F.max(F.when((F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n")), F.col(value))).cast("double")
 
-    place = {name: F.col("_last") * F.lit(level) for name, level in levels.items()}
+    place = {name: (F.col("_n_all") - 1) * F.lit(level) for name, level in levels.items()}
     found = rows.groupBy(*by).agg(*(c for n, p in place.items() for c in (F.max(p).alias(f"_{n}_at"), held(F.floor(p)).alias(f"_{n}_low"), held(F.ceil(p)).alias(f"_{n}_high"))))
 
     def between(n: str) -> Column:
