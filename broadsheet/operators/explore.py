@@ -76,7 +76,8 @@ def region_text(layouts: DataFrame, x1: float, y1: float, x2: float, y2: float)
 
 
 PIECE = 64
-FEW = 500_000  # names up to which they are broadcast; counted first, as the size of exploded pieces can't be estimated
+SPACE = r"\s+"
+FEW = 500_000  # names up to which they are broadcast, as the size of exploded pieces can't be estimated
 
 
 def places(text: Column, width: int, size: int) -> Column:
@@ -86,8 +87,38 @@ def places(text: Column, width: int, size: int) -> Column:
     return pieces if size == PIECE else F.array_distinct(pieces)
 
 
+CLASSES = {6: (PIECE, 6, PIECE), 3: (5, 3, 5), 2: (2, 2, 2), 1: (1, 1, 1), PIECE + 1: (None, PIECE, PIECE)}  # least length: greatest, letters of the key, letters of a piece
+
+
 def containing(texts: DataFrame, key: str, column: str, names: DataFrame, name: str) -> DataFrame:
-    """Distinct (key, name): which of the distinct, non-empty ``names`` stand anywhere in which texts.
+    """Distinct rows of key and all columns of ``names``: which non-empty ``name`` stands anywhere in which texts.
+
+    A name without white space stands in a text only within one of its words, so the distinct words of all texts are
+    searched, and what they hold is joined back to the texts by word; other names are searched in the texts themselves.
+    Names are counted by kind first, so that only what they need is searched.
+    """
+    length = F.length(F.col(name))
+    kind = F.when(length <= 2, length).when(length <= 5, 3).when(length <= PIECE, 6).otherwise(PIECE + 1)
+    counted = names.groupBy(F.col(name).rlike(SPACE).alias("spaced"), kind.alias("least")).agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("shortest")).collect()
+    few, out = sum(r.n for r in counted) <= FEW, texts.select(key).join(names, F.lit(False))
+    for spaced in (False, True):
+        kinds = sorted(r.least for r in counted if r.spaced == spaced)
+        if not kinds:
+            continue
+        some = names.where(F.col(name).rlike(SPACE) == spaced)
+        if spaced:
+            found = searched(texts, key, column, some, name, kinds, few)
+        else:
+            shortest = min(r.shortest for r in counted if not r.spaced)
+            words = texts.select(key, F.explode(F.array_distinct(F.split(F.col(column), SPACE))).alias("_word")).where(F.length("_word") >= shortest)
+            held = searched(words.select("_word").distinct().withColumn("_in", F.col("_word")), "_word", "_in", some, name, kinds, few)
+            found = words.join(held, "_word").select(key, *names.columns)
+        out = out.unionByName(found)
+    return out.distinct()
+
+
+def searched(texts: DataFrame, key: str, column: str, names: DataFrame, name: str, kinds: list[int], few: bool) -> DataFrame:
+    """Rows of key and all columns of ``names``: which names stand anywhere in which texts; kinds: the ``CLASSES`` there are.
 
     A text contains a name only where the name's first letters stand, so pieces of each text, of at most ``PIECE``
     letters from every place, are joined by their first 6 letters with the first 6 of the names, and what meets is
@@ -95,26 +126,29 @@ def containing(texts: DataFrame, key: str, column: str, names: DataFrame, name:
     the whole text where their first ``PIECE`` letters stand.  Up to ``FEW`` names are broadcast, more are shuffled.
     """
     length, out = F.length(F.col(name)), None
-    few = names.limit(FEW + 1).count() <= FEW
-    for least, most, width, size in ((6, PIECE, 6, PIECE), (3, 5, 3, 5), (2, 2, 2, 2), (1, 1, 1, 1), (PIECE + 1, None, PIECE, PIECE)):
+    for least in kinds:
+        most, width, size = CLASSES[least]
         some = names.where(length >= least if most is None else length.between(least, most)).withColumn("_key", F.substring(name, 1, width))
         some = F.broadcast(some) if few else some.hint("shuffle_hash")
         pieces = places(F.col(column), width, size)
         found = texts.select(key, F.explode(pieces).alias("_piece")).withColumn("_key", F.substring("_piece", 1, width)).join(some, "_key")
         if most is None:
-            found = found.select(key, name).distinct().join(texts.select(F.col(key), F.col(column).alias("_text")), key).where(F.contains(F.col("_text"), F.col(name)))
+            found = found.select(key, *names.columns).distinct().join(texts.select(F.col(key), F.col(column).alias("_text")), key).where(F.contains(F.col("_text"), F.col(name)))
         else:
             found = found.where(F.startswith(F.col("_piece"), F.col(name)))
-        found = found.select(key, name)
+        found = found.select(key, *names.columns)
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out
+
+
+def captions(pairs: DataFrame) -> DataFrame:
+    return pairs.select("fulltext_basename", F.lower(caption()).alias("_cap")).where("_cap <> ''")
 
 
 def caption_names(pairs: DataFrame, ner: DataFrame) -> DataFrame:
     """(fulltext_basename, _ent): which lower-cased entity texts stand in which caption, in any case."""
-    captions = pairs.select("fulltext_basename", F.lower(caption()).alias("_cap")).where("_cap <> ''")
     names = ner.select(F.lower("entity").alias("_ent")).where("_ent <> ''").distinct()
-    return containing(captions, "fulltext_basename", "_cap", names, "_ent")
+    return containing(captions(pairs), "fulltext_basename", "_cap", names, "_ent")
 
 
 def caption_entities(pairs: DataFrame, ner: DataFrame) -> DataFrame:
@@ -124,8 +158,8 @@ def caption_entities(pairs: DataFrame, ner: DataFrame) -> DataFrame:
 
 def caption_entity_counts(pairs: DataFrame, ner: DataFrame) -> DataFrame:
     """fulltext_basename, entity, n: the rows of ``caption_entities``, counted without making them."""
-    counts = ner.groupBy("entity").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ent", F.lower("entity"))
-    return caption_names(pairs, ner).join(counts, "_ent").groupBy("fulltext_basename", "entity").agg(F.sum("_n").alias("n"))
+    counts = ner.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).withColumn("_ent", F.lower("entity")).where("_ent <> ''")
+    return containing(captions(pairs), "fulltext_basename", "_cap", counts, "_ent").select("fulltext_basename", "entity", "n")
 
 
 def multimodal_index(layouts: DataFrame, emotions: DataFrame, ner: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -268,6 +268,20 @@ def test_pairs(frame):
     assert got == [("N_1901-01-02_x", "Berlin"), ("N_1901-01-02_x", "berlin"), ("N_1901-01-02_x", "in")]
 
 
+def test_names_are_searched_in_distinct_words(spark, monkeypatch):
+    texts = ["das neue berlin, in neu berlin", "berlin" * 30 + " x", "neu\tberlin\n\nin  ulm", " in", "\u00a0a\u2003b", "ab" * 80 + "c ulm", "", "a"]
+    words = ["in", "berlin", "neu berlin", "neu\tberlin", "n", "ulm", " in", "in ", "  ", "\u00a0a", "a\u2003b", "ab" * 40, "ab" * 79 + "abc", "ab" * 79 + "abc ulm", "inber", "zz"]
+    seen, own = [], explore.searched
+    monkeypatch.setattr(explore, "searched", lambda t, key, column, *more: seen.append((t, column)) or own(t, key, column, *more))
+    frame = spark.createDataFrame([(f"{i}.{j}", x) for i, x in enumerate(texts) for j in range(3)], "key string, said string").where("said <> ''")
+    names = spark.createDataFrame([(x,) for x in words], "name string")
+    got = sorted((r["key"], r["name"]) for r in explore.containing(frame, "key", "said", names, "name").collect())
+    assert got == sorted((f"{i}.{j}", w) for i, x in enumerate(texts) for j in range(3) for w in words if w in x)
+    plain = sorted(r[0] for r in seen[0][0].select(seen[0][1]).collect())
+    assert plain == sorted({w for x in texts for w in re.split(r"[ \t\n]+", x) if w})  # once each, however many texts hold them
+    assert explore.containing(frame, "key", "said", names.limit(0), "name").collect() == []
+
+
 def test_layouts(spark):
     kind = "image_file string, date string, total_detections int, summary struct<by_class:map<string,int>>, detections array<struct<class:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,text_content:string>>"
     d = [("Picture", 0.5, (0.0, 0.0, 1.0, 1.0), None), ("Text", 1.0, (1.0, 0.0, 2.0, 2.0), "eins"), ("Text", 0.9, (1.5, 0.5, 3.0, 2.0), "zwei")]
