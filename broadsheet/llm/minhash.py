@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair of similarity 0.8 shares no band with probability 3e-6
 SMALL = 16  # nodes of a bucket up to which pairs are listed one by one
 BLOCK = 256  # nodes of larger buckets that are compared with as many others at once
-GROUP = 512  # comparisons with one node that a task makes in a row
+GROUP = 512  # comparisons with one node, of each of its bands, that a task makes in a row
 CHUNK = 1 << 19
 ROUNDING = 1e-9
 
@@ -197,14 +197,12 @@ def verified(similarity: float) -> Callable:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose bags are similar; ``texts``: (node, bin) of all of them, several for ids with several texts.
+    """Those of the distinct ``pairs`` (a, salt, b) whose bags are similar; ``texts``: (node, bin) of all of them, several for ids with several texts.
 
-    The pairs of one node are dealt out in groups of about ``GROUP``; its text goes to each group once.
+    The pairs of one node are dealt out by salt; its text goes to each salt once.
     """
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    right = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), "b")
-    left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    sides = left.withColumn("node", F.col("a")).unionByName(right.withColumn("node", F.col("b")))
+    left = pairs.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("long"))
+    sides = left.withColumn("node", F.col("a")).unionByName(pairs.withColumn("node", F.col("b")))
     full = sides.join(texts, "node").select("a", "salt", "b", "bin")
     return full.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(verified(similarity), VERIFY)
 
@@ -285,28 +283,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     sign = stored(some.mapInArrow(tidy(signed), SIGNED), "signatures")
     nodes = sign.where(F.size("keys") > 0).groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    buckets = stored(banded.join(shared.select("key", "leader"), "key"), "buckets")  # (key, node, leader) of what shares a band
+    shared = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("leader < last")
+    buckets = stored(banded.join(shared.select("key", "leader", "n"), "key"), "buckets")  # (key, node, leader, n) of what shares a band
     texts = stored(some.join(buckets.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "bin").distinct(), "texts")
-    first = stored(buckets.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = stored(verify(first, texts, similarity), "links")
-    labels = components(links)
+    first = buckets.where("node > leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    first = stored(first.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int").alias("salt"), "b"), "pairs")
+    labels = components(stored(verify(first, texts, similarity), "links"))
     rooted = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("_1"), F.max("root").alias("_2")).where("_1 < _2").select("key")
-    rooted = stored(rooted.join(mixed, "key", "left_semi"), "mixed")
-    sized = rooted.join(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    small = sized.where(F.col("n") <= SMALL)
-    second = small.select("key", F.col("node").alias("a"), F.col("root").alias("r1")).join(small.select("key", F.col("node").alias("b"), F.col("root").alias("r2")), "key").where("a < b and r1 <> r2")
-    second = second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    between = verify(stored(second, "pairs"), texts, similarity).unionByName(blockwise(sized.where(F.col("n") > SMALL), texts, similarity))
-    more = stored(between, "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    member = sign.where(F.size("keys") > 0).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("node").alias("node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_1"), F.max("root").alias("_2"), F.count(F.lit(1)).alias("n")).where("_1 < _2").select("key", "n")
+    mixed = stored(rooted.join(mixed, "key"), "mixed")  # (key, node, root, n)
+    more = None
+    if not mixed.isEmpty():
+        small = mixed.where(F.col("n") <= SMALL)
+        second = small.select("key", F.col("node").alias("a"), F.col("root").alias("r1")).join(small.select("key", F.col("node").alias("b"), F.col("root").alias("r2")), "key").where("a < b and r1 <> r2")
+        second = second.select("a", F.lit(0).alias("salt"), "b").distinct().join(first, ["a", "b"], "left_anti").select("a", "salt", "b")
+        between = verify(stored(second, "pairs"), texts, similarity).unionByName(blockwise(mixed.where(F.col("n") > SMALL), texts, similarity))
+        more = stored(between, "links")
+    member = sign.where(F.size("keys") > 0).join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
     # rows of one id are one document: ids that stand for several bags tie their nodes together
-    several = sign.where(F.size("keys") > 0).join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    if not several.isEmpty():
-        labels = components(links.unionByName(more).unionByName(all_nodes_of_ids(sign, nodes)))
+    member = stored(member.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("last")), "ids")
+    several = None if member.where("node < last").isEmpty() else stored(all_nodes_of_ids(sign, nodes), "links")
+    known = labels.select(F.col("node").alias("a"), F.col("root").alias("b"))  # has all links so far
+    added = [x for x in (more, several) if x is not None and not x.isEmpty()]
+    for x in added:
+        known = known.unionByName(x)
+    labels = components(known) if added else labels
+    member = member.select("doc_id", "node")
     out = rows.select("doc_id").join(member, "doc_id", "left").join(labels, "node", "left")
     return out.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"), "node")
 

@@ -1,6 +1,7 @@
 """Near-duplicates, components and exact top-k search against brute force."""
 
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,8 @@ from broadsheet.llm import minhash, topk
 from broadsheet.llm.common import binary_rows
 from broadsheet.llm.components import components
 
+components_module = sys.modules[components.__module__]
+
 
 def bag(text):
     w = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
@@ -108,6 +111,18 @@ def test_overlaps():
             assert i == j or got[i, j] == sum((bag(x) & bag(y)).values())
 
 
+def test_components_end_without_a_round_where_one_task_holds_the_edges(spark, monkeypatch):
+    rounds, own = [], components_module._star
+    monkeypatch.setattr(components_module, "_star", lambda edges, large: rounds.append(large) or own(edges, large))
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i % 7, 2000 + i) for i in range(50)] + [(5, 5)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    wanted = {i: 0 for i in range(1, 301)} | {2000 + i: 1000 + i % 7 for i in range(50)}
+    assert {r.node: r.root for r in components(frame).collect()} == wanted and not rounds
+    monkeypatch.setattr(components_module, "AT_ONCE", 100)
+    rows = components(frame).collect()
+    assert {r.node: r.root for r in rows} == wanted and len(rows) == len(wanted) and rounds
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randint(0, 30), 100 + rng.randint(0, 30)) for _ in range(25)] + [(500, i) for i in range(501, 520)] + [(7, 7)]
