@@ -1,9 +1,10 @@
 """Licence scans by conditional compression.
 
 Candidate blocks are the lines that hold a word of licensing or a template's key phrase (which may run over line ends),
-joined when at most ``BETWEEN`` other lines lie between them.  The text around each key phrase of a template, as long as
-the template around its own, is compressed alone and with the template as a raw zstandard dictionary; the greatest relative
-reductions rank the templates, whatever the length of the block.  A winner is confirmed by the exact differences in wording
+joined when at most ``BETWEEN`` other lines lie between them.  Parts of a block around these words, about as long as a
+template, are compressed (A-Z in lower case) alone and with the template as a raw zstandard dictionary, for every template,
+whatever phrases stand in the block; the greatest relative reductions rank the templates, whatever the length of the block.
+Templates that save ``GAIN`` or more are winners and are confirmed, best first, by the exact differences in wording
 between template and block: the template's key phrase must stand in the block word for word, and of the template's other
 words no more than ``LOST`` may be missing.  SPDX tags are templates too, made by rule for every licence; their
 identifiers must stand whole, in any place of an expression (A OR B).
@@ -28,6 +29,7 @@ from .common import bounded_batches, tidy
 
 BETWEEN = 2
 GAIN = 0.15  # least relative reduction of a winner
+STEPS = 8  # places of a part within the template's length
 LOST = 0.25
 CACHE = 20_000
 
@@ -120,38 +122,50 @@ class Scanner:
     def __init__(self, templates=TEMPLATES) -> None:
         import zstandard
 
-        self.templates = [(name, words(text), key.startswith(TAG)) for name, key, text in templates]
+        self.templates = [(name, words(text), re.compile("(?i)" + whole(key))) for name, key, text in templates]
+        self.sizes = [len(text) for _, _, text in templates]
         self.alone = zstandard.ZstdCompressor(level=3)
-        self.given, self.around = [], []
-        for _, key, text in templates:
-            own = re.compile("(?i)" + whole(key))
-            m = own.search(text)
-            self.around.append((own, m.start(), len(text) - m.end()))
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.given = []
+        for _, _, text in templates:
+            raw = zstandard.ZstdCompressionDict(text.encode().lower(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             raw.precompute_compress(level=3)
             self.given.append(zstandard.ZstdCompressor(level=3, dict_data=raw))
         self.known: dict[str, list[tuple[str, float]]] = {}
 
-    def saved(self, i: int, text: str) -> float:
-        raw = text.encode("utf-8", "surrogatepass")
-        return 1 - len(self.given[i].compress(raw)) / len(self.alone.compress(raw))
+    def saved(self, i: int, part: str, alone: dict[str, int]) -> float:
+        """Share of a part, A-Z in lower case, that template ``i`` saves; ``alone`` keeps the sizes without a template."""
+        raw = part.encode("utf-8", "surrogatepass").lower()
+        if part not in alone:
+            alone[part] = len(self.alone.compress(raw))
+        return 1 - len(self.given[i].compress(raw)) / alone[part]
+
+    def gain(self, i: int, block: str, marks: list[tuple[int, int]], alone: dict[str, int]) -> float:
+        """The greatest share that template ``i`` saves of a part of the block.
+
+        Parts are twice as long as the template and overlap by half; they cover what is no further from any mark than
+        the template is long.  Within the best of them parts as long as the template are tried.
+        """
+        size, near = self.sizes[i], []
+        for start, stop in marks or [(0, len(block))]:
+            start, stop = max(0, start - size), min(len(block), stop + size)
+            if near and start <= near[-1][1]:
+                near[-1][1] = stop
+            else:
+                near.append([start, stop])
+        parts = {block[a : min(a + 2 * size, stop)] for start, stop in near for a in range(start, max(start + 1, stop - size), size)}
+        best, part = max((self.saved(i, x, alone), x) for x in parts)
+        return max([best, *(self.saved(i, part[a : a + size], alone) for a in range(0, len(part) - size + 1, max(1, size // STEPS)))])
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Templates whose key phrase stands in the block by the greatest share that they save around it, best first."""
-        n, out, tagged = len(words(block)), [], "spdx" in block.lower()
-        for i, (own, before, after) in enumerate(self.around):
-            if self.templates[i][2] and not tagged:
-                continue
-            gains = [self.saved(i, block[max(0, m.start() - before) : m.end() + after]) for m in own.finditer(block)]
-            if gains and n <= 2 * len(self.templates[i][1]):
-                gains.append(self.saved(i, block))
-            if gains:
-                out.append((max(gains), i))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
-
-    def confirmed(self, i: int, found: list[str]) -> bool:
-        """Whether the words of a block that holds the key phrase differ from the template's in no more than ``LOST``."""
-        text = self.templates[i][1]
+        """All templates by the greatest share that they save of a part of the block, best first."""
+        marks, alone = [m.span() for m in _MARK.finditer(block)], {}
+        return sorted(((self.gain(i, block, marks, alone), i) for i in range(len(self.templates))), key=lambda x: (-x[0], x[1]))
+
+    def confirmed(self, i: int, block: str, found: list[str]) -> bool:
+        """Whether the template's key phrase stands in the block, whose words differ from the template's in no more than ``LOST``."""
+        _, text, own = self.templates[i]
+        if not own.search(block):
+            return False
         same = sum(m.size for m in difflib.SequenceMatcher(None, text, found, autojunk=False).get_matching_blocks())
         return same >= (1 - LOST) * len(text)
 
@@ -163,9 +177,10 @@ class Scanner:
             found = words(block)
             gains: dict[str, float] = {}
             for gain, i in self.ranked(block):
+                if gain < GAIN:
+                    break
                 name = self.templates[i][0]
-                # in long blocks more may stand between a notice's words
-                if (gain >= GAIN or len(found) > 2 * len(self.templates[i][1])) and name not in gains and self.confirmed(i, found):
+                if name not in gains and self.confirmed(i, block, found):
                     gains[name] = gain
             self.known[block] = [(name, gain) for name, gain in gains.items() if WITHIN.get(name) not in gains]
         return self.known[block]

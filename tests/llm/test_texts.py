@@ -231,6 +231,31 @@ def test_licence_ranking():
         assert name in dict(scan.scan(text))
 
 
+def test_every_licence_template_is_ranked_by_compression():
+    import zstandard
+
+    scan = license.Scanner()
+    block = "Licensed under the Apache License, Version 2.1."  # no template's key phrase but the closest wording of one
+    prose = "plain words stand here and more of them, many more " * 200
+    for text in (block, "a licence to kill", prose + block + prose, "SPDX tags: licence"):
+        ranked = scan.ranked(text)
+        assert sorted(i for _, i in ranked) == list(range(len(license.TEMPLATES))) and ranked == sorted(ranked, key=lambda x: (-x[0], x[1]))
+        assert scan.scan(text) == []
+    for text in (block, prose + block + prose):
+        assert license.TEMPLATES[scan.ranked(text)[0][1]][0] == "Apache-2.0"
+    for gain, i in scan.ranked(block):
+        raw = zstandard.ZstdCompressionDict(license.TEMPLATES[i][2].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        whole = 1 - len(zstandard.ZstdCompressor(level=3, dict_data=raw).compress(block.lower().encode())) / len(zstandard.ZstdCompressor(level=3).compress(block.lower().encode()))
+        assert gain >= whole - 0.01 or len(license.TEMPLATES[i][2]) < len(block), i
+
+
+def test_licences_in_capitals():
+    scan = license.Scanner()
+    for name, _, text in license.TEMPLATES:
+        assert name in dict(scan.scan(text.upper())), text
+        assert name in dict(scan.scan("x " * 2000 + text.upper() + " y" * 2000)), text
+
+
 MODEL = sentencepiece.MODEL
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model")
 
